@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinspan.llm.bpe import encode_corpus
 from twinspan.llm.packing import pack_corpus
+from twinspan.llm.spans import shared_share, shared_span_pairs
 from twinspan.sources.tables import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_span_pairs(table(spark, sf_dir, "documents"))
+
+
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_share(table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -17,5 +26,5 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_pack": p7_pack}
+QUERIES = {"p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack}
 SQL: dict[str, str] = {}
