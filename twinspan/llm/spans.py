@@ -17,16 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinspan.operators.components import connected_components
 from twinspan.operators.intervals import merge_intervals
 from twinspan.session import cut
 
 MIN_BYTES = 200
-ANCHOR = 50
+ANCHOR = 80
 #: Bytes of a text hashed at a time; longer texts are worked off in overlapping segments.
 SEGMENT = 1 << 20
+#: An anchor with more different surroundings than this is verified by distributed groups.
+LOCAL_CONTEXTS = 2000
 
 _M1, _M2, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 _U = np.uint64
@@ -102,20 +103,35 @@ def anchors_of(data: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarra
     return fp[once].view(np.int64), ctx[once].view(np.int64), pos[once]
 
 
-def paragraphs_around(data: np.ndarray, fps: np.ndarray, pos: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, paragraph hash, start of every paragraph around anchors; distinct."""
-    n, reach = len(data), min_bytes - anchor
-    out = []
-    for fp, p in zip(fps.tolist(), pos.tolist(), strict=True):
-        a, b = max(0, p - reach), min(p, n - min_bytes)
-        if b >= a:
-            h = RollingHash(data[a : b + min_bytes], _M2).all(min_bytes)
-            out.append((np.full(len(h), fp, np.int64), h.view(np.int64), np.arange(a, b + 1)))
-    if not out:
-        return (np.empty(0, np.int64),) * 3
-    f, h, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    _, once = np.unique(f.view(_U) * _U(_M1) ^ h.view(_U), return_index=True)
-    return f[once], h[once], s[once]
+def local_cliques(contexts: list[np.ndarray], left: list[int], min_bytes: int, anchor: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Among surroundings of one anchor, each set that shares a paragraph.
+
+    ``left`` is the number of bytes before the anchor. Yields a group hash,
+    the members and, as offsets from the anchor, the first and the last byte
+    that they share. Each set of members comes once.
+    """
+    hashes, whose, offset = [], [], []
+    for i, (data, before) in enumerate(zip(contexts, left, strict=True)):
+        if len(data) >= min_bytes:
+            h = RollingHash(data, _M2).all(min_bytes)
+            hashes.append(h)
+            whose.append(np.full(len(h), i))
+            offset.append(np.arange(len(h)) - before)
+    if not hashes:
+        return
+    h, w, o = np.concatenate(hashes), np.concatenate(whose), np.concatenate(offset)
+    order = np.lexsort((w, h, o))
+    h, w, o = h[order], w[order], o[order]
+    edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
+    size = np.diff(np.append(edge, len(h)))
+    found: dict[bytes, list] = {}
+    for e, n in zip(edge[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        members = w[e : e + n]
+        at = int(o[e])
+        kept = found.setdefault(members.tobytes(), [int(h[e].view(np.int64)), members, at, at])
+        kept[2], kept[3] = min(kept[2], at), max(kept[3], at)
+    for key, members, lo, hi in found.values():
+        yield key, members, lo, hi + min_bytes - 1
 
 
 def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -129,15 +145,23 @@ def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 _ANCHORS = "fp bigint, ctx bigint, c bigint, pos int"
-_GROUPS = "k1 bigint, k2 bigint, c bigint, start int"
+_AROUND = "fp bigint, c bigint, pos int, before int, hot boolean, context binary"
+_GROUPS = "k1 bigint, k2 bigint, c bigint, lo int, hi int"
+
 
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=[n.split()[0] for n in names.split(", ")])
 
-def shared_groups(docs: DataFrame, min_bytes: int, anchor: int) -> DataFrame:
-    """``k1, k2, c, start``: classes of texts with the same group key hold the same bytes.
+
+def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOCAL_CONTEXTS) -> DataFrame:
+    """``k1, k2, c, lo, hi``: classes of texts with the same group key hold the same bytes.
 
     ``docs`` has doc_id, c (hash of the text) and text; exact copies have one
-    class, so copies cost nothing after the first shuffle's map side.
+    class, so copies cost nothing after the first shuffle's map side. ``lo``
+    and ``hi`` are the first and last shared byte; ``hi`` may lie behind the
+    end of the text. Within one key the groups cover all shared bytes.
     """
+    reach = min_bytes - anchor
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,40 +174,72 @@ def shared_groups(docs: DataFrame, min_bytes: int, anchor: int) -> DataFrame:
                 fp, ctx, pos = anchors_of(data, min_bytes, anchor)
                 rows.append((fp, ctx, np.full(len(fp), c, np.int64), pos.astype(np.int32)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["fp", "ctx", "c", "pos"])
+                yield _batch(rows, _ANCHORS)
 
     anchors = docs.select("c", "text").mapInArrow(find, _ANCHORS)
     shared = anchors.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("fp")
     hits = cut(anchors.join(shared, "fp", "left_semi").groupBy("fp", "ctx", "c").agg(F.min("pos").alias("pos")))
-    mixed = hits.groupBy("fp").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("fp")
-    # one context everywhere: verified by the context hash, no paragraph needs a look
-    pure = hits.join(mixed, "fp", "left_anti").select(F.col("fp").alias("k1"), F.col("ctx").alias("k2"), "c", "pos")
-    wanted = hits.join(mixed, "fp", "left_semi").groupBy("c").agg(F.collect_list(F.struct("fp", "pos")).alias("at"))
+    # one context everywhere is verified by the context hash; the others need their bytes
+    kinds = hits.groupBy("fp", "ctx").agg(F.count("*").alias("n")).groupBy("fp").agg(F.count("*").alias("contexts")).filter("contexts > 1")
+    pure = hits.join(kinds, "fp", "left_anti").select(
+        F.col("fp").alias("k1"), F.col("ctx").alias("k2"), "c", F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + min_bytes - 1).alias("hi")
+    )
+    hot = F.col("contexts") > local
+    wanted = hits.join(kinds, "fp").groupBy("c").agg(F.collect_list(F.struct("fp", "pos", hot.alias("hot"))).alias("at"))
     first = docs.groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     todo = wanted.join(first, "c").withColumnRenamed("c", "wc").withColumnRenamed("doc_id", "wid")
-    looked = docs.join(todo, (F.col("doc_id") == F.col("wid")) & (F.col("c") == F.col("wc"))).select("c", "text", F.col("at.fp").alias("fps"), F.col("at.pos").alias("ats"))
+    looked = docs.join(todo, (F.col("doc_id") == F.col("wid")) & (F.col("c") == F.col("wc"))).select("c", "text", F.col("at.fp").alias("fps"), F.col("at.pos").alias("ats"), F.col("at.hot").alias("hots"))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held = [], 0
-            seen = set()
-            lists = zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True)
-            for c, data, fps, ats in lists:
+            out, seen = ([], [], [], [], [], []), set()
+            lists = zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), *batch.columns[2:], strict=True)
+            for c, data, fps, ats, hots in lists:
                 if c in seen:
                     continue
                 seen.add(c)
-                f, h, s = paragraphs_around(data, fps.values.to_numpy(), ats.values.to_numpy(), min_bytes, anchor)
-                rows.append((f, h, np.full(len(f), c, np.int64), s.astype(np.int32)))
-                held += len(f)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["k1", "k2", "c", "start"])
-                    rows, held = [], 0
+                for fp, pos, spread in zip(fps.as_py(), ats.as_py(), hots.as_py(), strict=True):
+                    a = max(0, pos - reach)
+                    for column, value in zip(out, (fp, c, pos, pos - a, spread, data[a : pos + min_bytes].tobytes()), strict=True):
+                        column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["fp", "c", "pos", "before", "hot", "context"])
+
+    # an anchor with few surroundings goes to one task; a hot one is spread and grouped by paragraph
+    around = looked.mapInArrow(surroundings, _AROUND).repartition("fp", F.when(F.col("hot"), F.pmod(F.xxhash64("c"), F.lit(1024)))).sortWithinPartitions("fp")
+
+    def paragraphs(fp: int, c: int, pos: int, before: int, _: bool, context: bytes) -> list[tuple]:
+        if len(context) < min_bytes:
+            return []
+        h = RollingHash(np.frombuffer(context, np.uint8), _M2).all(min_bytes).view(np.int64)
+        lo = (pos - before + np.arange(len(h))).astype(np.int32)
+        return [(np.full(len(h), fp), h, np.full(len(h), c), lo, lo + np.int32(min_bytes - 1))]
+
+    def cliques(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def group() -> list[tuple]:
+            fp = held[0][0]
+            c, pos = np.array([x[1] for x in held]), np.array([x[2] for x in held])
+            found = local_cliques([np.frombuffer(x[5], np.uint8) for x in held], [x[3] for x in held], min_bytes, anchor)
+            return [(np.full(len(m), fp), np.full(len(m), key), c[m], (pos[m] + lo).astype(np.int32), (pos[m] + hi).astype(np.int32)) for key, m, lo, hi in found]
+
+        for batch in batches:
+            rows = []
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    rows += group()
+                    held = []
+                if row[4]:
+                    rows += paragraphs(*row)
+                else:
+                    held.append(row)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["k1", "k2", "c", "start"])
+                yield _batch(rows, _GROUPS)
+        if held and (rows := group()):
+            yield _batch(rows, _GROUPS)
 
-    paragraphs = looked.mapInArrow(look, _GROUPS)
-    # pure rows: the context reaches from start over up to 2 * reach + anchor bytes
-    return paragraphs.unionByName(pure.select("k1", "k2", "c", (-F.col("pos") - 1).cast("int").alias("start")))
+    return pure.unionByName(around.mapInArrow(cliques, _GROUPS))
 
 
 def class_pairs(groups: DataFrame) -> DataFrame:
@@ -192,7 +248,7 @@ def class_pairs(groups: DataFrame) -> DataFrame:
     Groups with the same members are one clique; one of them is kept, so a
     long span costs one join row per pair and not one per paragraph.
     """
-    sign = groups.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    sign = groups.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     kept = sign.groupBy("n", "x", "lo", "hi").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
     rows = groups.join(kept, ["k1", "k2"], "left_semi").select("k1", "k2", "c")
     left, right = rows.withColumnRenamed("c", "a"), rows.withColumnRenamed("c", "b")
@@ -235,17 +291,11 @@ def shared_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     :func:`shared_span_pairs`.
     """
     docs = prepared(df, doc_id, text, min_bytes)
-    reach = min_bytes - anchor
     classes = docs.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n"), F.max(F.octet_length("text")).alias("n_bytes"))
     groups = cut(shared_groups(docs, min_bytes, anchor))
     pairs = cut(class_pairs(groups))
     shared = groups.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    pure = F.col("start") < 0
-    spans = groups.join(shared, ["k1", "k2"], "left_semi").select(
-        "c",
-        F.when(pure, F.greatest(F.lit(0), -F.col("start") - 1 - reach)).otherwise(F.col("start")).alias("lo"),
-        F.when(pure, -F.col("start") - 2 + anchor + reach).otherwise(F.col("start") + min_bytes - 1).alias("hi"),
-    )
+    spans = groups.join(shared, ["k1", "k2"], "left_semi").select("c", "lo", "hi")
     periods = merge_intervals(spans, "c", "lo", "hi").filter("range_kind = 'period'")
     covered = periods.join(classes.select("c", "n_bytes"), "c").groupBy("c").agg(F.sum(F.least("hi", F.col("n_bytes") - 1) - F.col("lo") + 1).alias("covered"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
