@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinspan.llm.bpe import encode_corpus
 from twinspan.llm.packing import pack_corpus
+from twinspan.llm.reading import reading_levels
 from twinspan.llm.spans import shared_share, shared_span_pairs
+from twinspan.llm.validity import file_validity, invalid_rates
 from twinspan.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_validity(table(spark, sf_dir, "documents")).filter("kind IS NOT NULL").select("doc_id").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(file_validity(table(spark, sf_dir, "documents")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_span_pairs(table(spark, sf_dir, "documents"))
 
@@ -26,5 +36,13 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack}
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).filter("level >= 12").select("doc_id").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_levels": p8_levels, "p8_found": p8_found}
 SQL: dict[str, str] = {}
