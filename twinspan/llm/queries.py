@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from twinspan.functions.paths import canonical_path
 from twinspan.llm.bpe import encode_corpus
 from twinspan.llm.packing import pack_corpus
 from twinspan.llm.reading import reading_levels
 from twinspan.llm.spans import shared_share, shared_span_pairs
 from twinspan.llm.validity import file_validity, invalid_rates
+from twinspan.llm.vendoring import file_origins
 from twinspan.sources.tables import table
 
 
+def p1_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "occurrences").select("path").unionByName(table(spark, sf_dir, "issues").select("path"))
+    return file_origins(named.select(canonical_path(F.col("path")).alias("path")), table(spark, sf_dir, "documents"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_origins(spark, sf_dir).filter("kind <> 'hand'").select("path")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_validity(table(spark, sf_dir, "documents")).filter("kind IS NOT NULL").select("doc_id").distinct()
 
@@ -44,5 +56,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).filter("level >= 12").select("doc_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_levels": p8_levels, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_levels": p8_levels, "p8_found": p8_found}
 SQL: dict[str, str] = {}
