@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspan.operators import detail, incremental, lexing, matching
+from twinspan.operators import detail, incremental, lexing, matching, units
 from twinspan.plans.reference import CTE, _occurrences
 from twinspan.sources.ignore import BUILT_IN, ingest_status, rule_regex
 from twinspan.sources.tables import table
@@ -116,3 +116,26 @@ def context_lines(spark, d):
 def line_differences(spark, d):
     lines = detail.occurrence_lines(_occurrences(spark, d), table(spark, d, "documents"))
     return detail.line_differences(lines).select("group_id", F.col("rel").cast("bigint").alias("rel"), "places", "differs")
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
+
+
+@query()
+def tier_b_groups(spark, d):
+    """No SQL: units come from the languages' grammars; tested against known units."""
+    found, _ = units.tier_b(_sources(spark, d))
+    return found.select("group_hash", "part", "unit", "path", "start_line", "end_line", "start_byte", "end_byte", "tokens", F.size("alpha").alias("renamed"))
+
+
+@query()
+def unit_issues(spark, d):
+    return units.tier_b(_sources(spark, d))[1]
+
+
+@query()
+def promoted_groups(spark, d):
+    """Tier A without the spans that tier B covers exactly. No SQL, as for its inputs."""
+    corpus = _sources(spark, d)
+    return matching.promote(matching.tier_a(corpus), units.tier_b(corpus)[0])
