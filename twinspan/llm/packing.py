@@ -4,9 +4,10 @@ Bins stand ordered by what they have left: bitmaps over residuals, one for all
 bins and one for the bins that lack a source, so the successor search for the
 tightest bin is a find-first-set. Every bin carries a bitmap of the sources and
 the set of the duplicate clusters in it; the search goes on to the next wider
-bin until one is compatible. Conflicts are preferences: where every bin that has room holds
-the source or a copy already, the tightest one is taken, so that no container
-is ever opened for a conflict's sake.
+bin until one is compatible. Where none is, a new bin is opened as long as the
+items' total asks for more bins than there are; beyond that conflicts are only
+preferences and the tightest bin with room is taken, so that no container is
+spent on a conflict.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ REPACK_ITEMS = 100_000
 
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """Bin of each item (sizes 1..capacity), largest first; and the bin count."""
+    bound = -(-int(sizes.sum()) // capacity)  # so many bins are needed anyway
     bin_of = np.empty(len(sizes), np.int64)
     names, slots = np.unique(sources, return_inverse=True)
     kinds = range(len(names))
@@ -57,7 +59,7 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
                         break
             fits >>= step + 1
             base = residual + 1
-        if pick is None and mask >> size:  # every bin with room conflicts: the tightest one
+        if pick is None and len(bitmap) >= bound and mask >> size:  # every bin with room conflicts: the tightest one
             fits = mask >> size
             residual = size + (fits & -fits).bit_length() - 1
             bits, bins = next(iter(held[residual].items()))
