@@ -134,3 +134,19 @@ def test_fingerprint_stream(spark, tmp_path):
     spark.createDataFrame([("c.py", FUNCTION)], "path string, text string").write.mode("append").parquet(source)
     append_fingerprints(fingerprint_stream(spark, source), out, state).awaitTermination(120)
     assert once > 0 and spark.read.parquet(out).count() == 2 * once
+
+
+def test_command_line(spark, tree, capsys):
+    from twinspan.__main__ import main
+
+    assert main(["--strict", "--format", "text", "scan", str(tree)], spark) == 1
+    said = capsys.readouterr()
+    assert "a.py:" in said.out and "1 issues: utf8 1" in said.err
+    assert main(["--format", "json", "--lang", "rust", "--tier", "b", "list", str(tree)], spark) == 0 and capsys.readouterr().out == ""
+    assert main(["show", "1", str(tree)], spark) == 0 and main(["show", "77", str(tree)], spark) == 2
+    assert main(["dismiss", "1", str(tree)], spark) == 0 and main(["suppressions", str(tree)], spark) == 0
+    assert main(["diff", "--since", "never", str(tree)], spark) == 2 and main(["list", str(tree / "lib")], spark) == 2
+    before = Engine(spark, str(tree))._open().read("file_blocks").orderBy("path").collect()
+    assert main(["-q", "scan", str(tree)], spark) == 0  # stored fingerprints are taken over
+    assert Engine(spark, str(tree))._open().read("file_blocks").orderBy("path").collect() == before
+    assert main(["clean", str(tree)], spark) == 2 and main(["clean", "-y", str(tree)], spark) == 0 and main(["nonsense"], spark) == 2

@@ -86,8 +86,11 @@ class Engine:
         started = int(time.time()) if now is None else now
         row = self.spark.createDataFrame([(scan_id, started, fnv1a(self.root.encode()), git_commit(self.root))], "scan_id bigint, started_at bigint, folder_hash bigint, git_commit string")
         snapshot = groups.groupBy("group_hash").agg(F.sum("occurrence_count").alias("occurrence_count"), F.sum("total_lines").alias("total_lines")).withColumn("scan_id", F.lit(scan_id))
-        blocks = windows(corpus).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("win", "h"))), lambda x: x["h"]).alias("block_hashes"))
-        prints = corpus.join(blocks, "path", "left").select("path", F.xxhash64("text").alias("content_hash"), F.col("length").alias("size"), "mtime", F.coalesce("block_hashes", F.array().cast("array<bigint>")).alias("block_hashes"))
+        prints = corpus.select("path", "text", F.xxhash64("text").alias("content_hash"), F.col("length").alias("size"), "mtime")
+        stored = wh.read("file_blocks").select("path", "content_hash", "size", "mtime", F.col("block_hashes").alias("stored"))
+        both = cut(prints.join(stored, ["path", "content_hash", "size", "mtime"], "left"))
+        blocks = windows(both.filter("stored IS NULL")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("win", "h"))), lambda x: x["h"]).alias("block_hashes"))
+        prints = both.join(blocks, "path", "left").select("path", "content_hash", "size", "mtime", F.coalesce("stored", "block_hashes", F.array().cast("array<bigint>")).alias("block_hashes"))
         wh.commit(
             {"match_groups": groups.withColumn("hash_hex", hex16(F.col("group_hash"))), "occurrences": occ, "issues": issues.unionByName(more), "file_blocks": prints},
             {"scans": row, "scan_groups": snapshot},
