@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     and loops do not count.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = cut(links)
+    state, mark = cut(links), None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to u's smallest neighbour
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,10 +26,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         # small star: every smaller neighbour and u itself are linked to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        nxt = cut(small)
-        same = nxt.count() == state.count() and nxt.exceptAll(state).isEmpty()
-        state = nxt
-        if same:
+        state = cut(small)
+        before, mark = mark, state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinspan.session import spread
+
 WINDOW = 50
 _U = np.uint64
 #: Seed and multiplier of the token and window hashes.
@@ -125,7 +127,7 @@ def token_counts(corpus: DataFrame, key: str = "doc_id", text: str = "text") ->
     as empty.
     """
     kinds = ["identifiers", "numbers", "strings", "puncts"]
-    source = corpus.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("deep", deep(F.col("t")))
+    source = spread(corpus.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))).withColumn("deep", deep(F.col("t")))
     found = source.filter("NOT deep").select("k", lexemes(F.col("t")).alias("x"))
     firsts = [r"^[A-Za-z_\x{80}-\x{10FFFF}]", r"^[0-9]", "^[\"']"]
     counts = [F.size(F.filter("x", partial(_like, p))) for p in firsts]
@@ -160,7 +162,7 @@ def windows(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
                     arrays = [pa.array(h.view(np.int64)) if x is None else pa.array(x.astype(np.int32)) for x in columns]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * c, pa.string()), *arrays], names=[f.split()[0] for f in _WINDOWS.split(", ")])
 
-    return corpus.select("path", "text").mapInArrow(run, _WINDOWS)
+    return spread(corpus.select("path", "text")).mapInArrow(run, _WINDOWS)
 
 
 def duplicated(all_windows: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspan.session import spread
+
 MIN_LINES, MIN_TOKENS = 3, 15
 #: Fixed values of the unit hash and of what stands for a literal in aggressive mode.
 SEED, MUL, PLACEHOLDER = 0xCBF29CE484222325, 0x100000001B3, "<LIT>"
@@ -386,7 +388,7 @@ def extract_units(corpus: DataFrame, normalization: str = "conservative") -> Dat
 
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     files = corpus.select("path", ext.alias("ext"), "text").filter(F.col("ext").isin(*PROFILES) & F.col("text").isNotNull())
-    return files.mapInArrow(run, _UNITS)
+    return spread(files).mapInArrow(run, _UNITS)
 
 
 def tier_b(corpus: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, normalization: str = "conservative") -> tuple[DataFrame, DataFrame]:
