@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.session import spread
@@ -34,7 +33,7 @@ def lexeme_pattern(high: str, end: str = r"\z") -> str:
     return "|".join(parts)
 
 
-#: For the JVM and for DuckDB.
+#: For engines whose expressions know code points, such as DuckDB.
 PATTERN = lexeme_pattern(r"\x{80}-\x{10FFFF}")
 SKIPPED = r"^(?:[ \t\n\r\f]|//|#|/\*)"
 _BYTES = re.compile(lexeme_pattern(r"\x80-\xff", r"\Z").encode("latin-1"))
@@ -46,36 +45,38 @@ for _c in range(256):
         _KINDS[_c] = 2
     elif _c >= 128 or chr(_c).isalpha() or _c == 95:
         _KINDS[_c] = 1
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\f#", np.uint8))
 
 
-def deep(text: Column) -> Column:
-    """Whether a text may exhaust the stack of the JVM's regular expressions.
-
-    Only escapes inside strings and exponents inside numbers recurse; both
-    leave a trace that one cheap scan counts.
-    """
-    escapes = F.length(text) - F.length(F.translate(text, "\\", ""))
-    return (escapes > 200) | text.rlike(r"[0-9][0-9A-Za-z_.]{2000}")
-
-
-def lexemes(text: Column) -> Column:
-    """Array of the tokens of a text that is not deep()."""
-    return F.filter(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda x: ~x.rlike(SKIPPED))
+def _scan(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All lexemes, their starts and ends, and which of them are tokens."""
+    all_ = _BYTES.findall(data)
+    length = np.fromiter(map(len, all_), np.int64, len(all_))
+    ends = np.cumsum(length)
+    starts = ends - length
+    raw = np.frombuffer(data, np.uint8)
+    first = raw[starts]
+    second = raw[np.minimum(starts + 1, len(raw) - 1)]
+    skip = _BLANK[first] | (first == 47) & (length > 1) & ((second == 47) | (second == 42))
+    return all_, starts, ends, np.flatnonzero(~skip)
 
 
 def lex(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of UTF-8 bytes, their starts, ends and 1-based lines."""
-    all_ = _BYTES.findall(data)
-    ends = np.cumsum(np.fromiter(map(len, all_), np.int64, len(all_)))
-    starts = ends - np.fromiter(map(len, all_), np.int64, len(all_))
-    raw = np.frombuffer(data, np.uint8)
-    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    first = raw[starts] if len(all_) else np.empty(0, np.uint8)
-    second = raw[np.minimum(starts + 1, len(raw) - 1)] if len(all_) else first
-    long_ = ends - starts > 1
-    skip = np.isin(first, np.frombuffer(b" \t\n\r\f#", np.uint8)) | (first == 47) & long_ & ((second == 47) | (second == 42))
-    keep = np.flatnonzero(~skip)
-    return [all_[i] for i in keep.tolist()], starts[keep], ends[keep], breaks[starts[keep]] + 1
+    if not data:
+        return [], *(np.empty(0, np.int64),) * 3
+    all_, starts, ends, keep = _scan(data)
+    breaks = np.cumsum(np.frombuffer(data, np.uint8) == 10)
+    starts = starts[keep]
+    return [all_[i] for i in keep.tolist()], starts, ends[keep], np.where(starts > 0, breaks[starts - 1], 0) + 1
+
+
+def kind_counts(data: bytes) -> np.ndarray:
+    """Identifiers, numbers, strings and single characters among the tokens."""
+    if not data:
+        return np.zeros(4, np.int64)
+    _, starts, _, keep = _scan(data)
+    return np.bincount(_KINDS[np.frombuffer(data, np.uint8)[starts[keep]]], minlength=5)[1:]
 
 
 _TOKEN_HASHES: dict[bytes, int] = {}
@@ -116,32 +117,22 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _like(pattern: str, value: Column) -> Column:
-    return value.rlike(pattern)
-
-
 def token_counts(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>, identifiers, numbers, strings, puncts, tokens`` of each text.
 
-    JVM-side but for texts the JVM's matcher cannot take. A null text counts
-    as empty.
+    A null text counts as empty. No shuffle but for scans of few splits. The
+    JVM's regular expressions would do for most texts, at half the speed, but
+    their matcher exhausts the stack on long literals with many escapes.
     """
-    kinds = ["identifiers", "numbers", "strings", "puncts"]
-    source = spread(corpus.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))).withColumn("deep", deep(F.col("t")))
-    found = source.filter("NOT deep").select("k", lexemes(F.col("t")).alias("x"))
-    firsts = [r"^[A-Za-z_\x{80}-\x{10FFFF}]", r"^[0-9]", "^[\"']"]
-    counts = [F.size(F.filter("x", partial(_like, p))) for p in firsts]
-    plain = found.select("k", *counts, F.size("x").alias("tokens")).toDF("k", *kinds[:3], "tokens").withColumn("puncts", F.col("tokens") - F.col("identifiers") - F.col("numbers") - F.col("strings"))
+    source = spread(corpus.select(F.col(key).alias("k"), F.col(text).alias("t")))
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([np.bincount(_KINDS[[t[0] for t in lex(x.encode())[0]]], minlength=5)[1:] for x in batch.column(1).to_pylist()], np.int32).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, i]) for i in range(4)], pa.array(rows.sum(1, dtype=np.int32))], names=["k", *kinds, "tokens"])
+            rows = np.array([kind_counts((x or "").encode()) for x in batch.column(1).to_pylist()], np.int32).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, i]) for i in range(4)], pa.array(rows.sum(1, dtype=np.int32))], names=["k", "identifiers", "numbers", "strings", "puncts", "tokens"])
 
-    other = source.filter("deep").select("k", "t").mapInArrow(run, f"k {kind}, identifiers int, numbers int, strings int, puncts int, tokens int")
-    out = ["k", *kinds, "tokens"]
-    return plain.select(*out).unionByName(other.select(*out)).withColumnRenamed("k", key)
+    return source.mapInArrow(run, f"k {kind}, identifiers int, numbers int, strings int, puncts int, tokens int").withColumnRenamed("k", key)
 
 
 _WINDOWS = "path string, win int, h bigint, start_line int, end_line int, start_byte int, end_byte int"
