@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from twinspan.session import spread
+
 #: Default place of the vocabulary files; a parameter everywhere.
 TOKENIZER_DIR = os.environ.get("TWINSPAN_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
@@ -240,4 +242,4 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
                 yield pa.RecordBatch.from_arrays([keys.slice(begin, len(parts)), ids], names=["doc_id", "ids"])
                 begin += len(parts)
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinspan.llm.bpe import text_chunks, vocabulary, worker_encoder
-from twinspan.session import cut
+from twinspan.session import cut, spread
 
 #: Items that one best-fit run sorts and holds.
 RUN_ITEMS = 20_000
@@ -184,7 +184,7 @@ def pack_corpus(df: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", tex
         if held:
             yield run()
 
-    pieces = cut(inputs.mapInArrow(first, _PIECES))
+    pieces = cut(spread(inputs).mapInArrow(first, _PIECES))
     loose = pieces.filter("NOT full")
     shards = max(1, -(-loose.count() // REPACK_ITEMS))
 
@@ -198,6 +198,6 @@ def pack_corpus(df: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", tex
         container = (1 << 62 | TaskContext.get().partitionId() << 36) + bin_of
         yield _table(container, t.column("doc_id").combine_chunks(), t.column("first_token").to_numpy(), n, src, dup, capacity)
 
-    spread = loose.repartition(shards, F.xxhash64("container", "doc_id", "first_token"))
+    dealt = loose.repartition(shards, F.xxhash64("container", "doc_id", "first_token"))
     out = ["container", "doc_id", "first_token", "n_tokens"]
-    return pieces.filter("full").select(*out).unionByName(spread.mapInArrow(again, _PIECES).select(*out))
+    return pieces.filter("full").select(*out).unionByName(dealt.mapInArrow(again, _PIECES).select(*out))

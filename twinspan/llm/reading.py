@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinspan.session import spread
+
 PROSE_SOURCES = ("docs", "triage", "review", "changelog")
 GRADES = (3, 18)
 #: Labelled documents the models are fitted on at most, those with the smallest hash of the id.
@@ -196,4 +198,4 @@ def reading_levels(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
                 names=["doc_id", "level", "years", "certainty"],
             )
 
-    return texts.mapInArrow(run, f"doc_id {kind}, level int, years double, certainty double")
+    return spread(texts).mapInArrow(run, f"doc_id {kind}, level int, years double, certainty double")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.components import connected_components
 from twinspan.operators.intervals import merge_intervals
-from twinspan.session import cut
+from twinspan.session import cut, spread
 
 MIN_BYTES = 200
 ANCHOR = 80
@@ -176,7 +176,7 @@ def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOC
             if rows:
                 yield _batch(rows, _ANCHORS)
 
-    anchors = docs.select("c", "text").mapInArrow(find, _ANCHORS)
+    anchors = spread(docs.select("c", "text")).mapInArrow(find, _ANCHORS)
     shared = anchors.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("fp")
     hits = cut(anchors.join(shared, "fp", "left_semi").groupBy("fp", "ctx", "c").agg(F.min("pos").alias("pos")))
     # one context everywhere is verified by the context hash; the others need their bytes
