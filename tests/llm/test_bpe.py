@@ -41,6 +41,16 @@ def test_very_long_pre_tokens(ranks, public):
     assert [g.tolist() for g in got] == [public.encode_ordinary(t) for t in texts]
 
 
+def test_long_texts_in_segments(ranks, public):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["word", " two", "  ", "\n\n", " 12", "é", "-", " x\t"]) for _ in range(4000))
+    assert "".join(bpe.segments(text, 100)) == text and len(list(bpe.segments(text, 100))) > 50
+    encoder = bpe.Encoder(ranks)
+    assert [i for s in bpe.segments(text, 100) for i in encoder.encode_batch([s])[0].tolist()] == public.encode_ordinary(text)
+    assert list(bpe.segments("a" * 500, 100)) == ["a" * 500] and encoder.count(text) == len(public.encode_ordinary(text)) and encoder.encode("").tolist() == []
+    assert [len(c) for c in bpe.text_chunks(["a" * 5, "b" * 50, "c", "d"], 20)] == [1, 1, 2]
+
+
 def test_a_lower_rank_made_by_a_merge_comes_first():
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"abc": 256, b"bc": 400, b"xab": 257}
     assert bpe.rank_queue_merge([b"abcxabab", b"bc"], ranks, bpe.byte_pair_table(ranks)) == [(256, 257, 300), (400,)]

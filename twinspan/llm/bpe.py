@@ -38,6 +38,9 @@ _ASCII = rf"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^{_ASCII_SPACE}A-Za-z0-
 #: Pre-tokens a worker remembers before it starts afresh (memory, not results).
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 20_000_000
+#: Longer texts are worked off in segments of about so many characters.
+SEGMENT_CHARS = 1_000_000
+_BORDER = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -180,16 +183,42 @@ class Encoder:
         look = self.known.__getitem__
         return [np.fromiter(chain.from_iterable(map(look, p)), np.int32) for p in parts]
 
+    def encode(self, text: str) -> np.ndarray:
+        """Of a text of any length, in segments."""
+        return np.concatenate([self.encode_batch([s])[0] for s in segments(text)])
+
     def count_batch(self, texts: list[str]) -> list[int]:
         parts = self.split(texts)
         look = self.known.__getitem__
         return [sum(map(len, map(look, p))) for p in parts]
 
+    def count(self, text: str) -> int:
+        return sum(self.count_batch([s])[0] for s in segments(text))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Of about a chunk of texts; long ones stand alone in theirs."""
+        return [self.encode(texts[0])] if len(texts) == 1 else self.encode_batch(texts)
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        return [self.count(texts[0])] if len(texts) == 1 else self.count_batch(texts)
+
+
+def segments(text: str, chars: int = SEGMENT_CHARS) -> Iterator[str]:
+    """The text cut where white space follows something else: no pre-token spans such a place."""
+    at = 0
+    while len(text) - at > 2 * chars and (m := _BORDER.search(text, at + chars)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
 
 def text_chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Consecutive texts, about so many characters at a time."""
+    """Consecutive texts, about so many characters at a time; longer ones alone."""
     chunk, held = [], 0
     for t in texts:
+        if len(t) >= chars and chunk:
+            yield chunk
+            chunk, held = [], 0
         chunk.append(t)
         held += len(t)
         if held >= chars:
@@ -235,7 +264,7 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
         for batch in batches:
             keys, begin = batch.column(0), 0
             for chunk in text_chunks([t or "" for t in batch.column(1).to_pylist()]):
-                parts = encoder.encode_batch(chunk)
+                parts = encoder.encode_all(chunk)
                 offsets = np.zeros(len(parts) + 1, np.int32)
                 np.cumsum([len(p) for p in parts], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))

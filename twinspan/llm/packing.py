@@ -173,7 +173,7 @@ def pack_corpus(df: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", tex
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts.append(np.array([n for chunk in text_chunks(texts) for n in encoder.count_batch(chunk)], np.int64))
+            counts.append(np.array([n for chunk in text_chunks(texts) for n in encoder.count_all(chunk)], np.int64))
             keys.append(batch.column(0))
             srcs.append(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
             dups.append(batch.column(3).to_numpy(zero_copy_only=False))
