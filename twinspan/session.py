@@ -52,8 +52,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a scan that has fewer splits than there are cores.
 
     Large inputs have more splits and pass unchanged; a small one in few row
-    groups is dealt out before costly work per row.
+    groups is dealt out before costly work per row. A stream passes unchanged.
     """
+    if df.isStreaming:
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
