@@ -70,6 +70,69 @@ def test_share(spark):
     assert (got[1]["links"], got[3]["links"], got[5]["copies"]) == (1, 0, 1)
 
 
+def covered(rows, n=MIN_BYTES):
+    """Bytes of each record in windows that other texts hold too."""
+    places = {}
+    for i, t in rows:
+        data = t.encode()
+        for k in range(len(data) - n + 1):
+            places.setdefault(data[k : k + n], []).append((i, k))
+    got = {i: set() for i, t in rows if len(t.encode()) >= n}
+    for held in places.values():
+        if len({i for i, _ in held}) > 1:
+            for i, k in held:
+                got[i].update(range(k, k + n))
+    return {i: len(x) for i, x in got.items()}
+
+
+def repeats():
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("qwertyuiop") for _ in range(n))
+    block, short = noise(3000), noise(210)
+    rows = [
+        (200, block + noise(50) + block),
+        (201, noise(77) + block),
+        (202, "x" * 5000),
+        (203, noise(300) + "x" * 5000 + noise(900) + "x" * 210 + noise(300)),
+        (204, "abc" * 300 + noise(500) + "abc" * 100 + "q"),
+        (205, noise(20) + "abc" * 500),
+        (206, short + noise(200) + short + noise(700) + short[:205] + noise(9) + short[1:]),
+        (207, noise(30) + short[:204] + noise(300)),
+        (208, block[100:400] + noise(5) + block[100:400] + block[90:350]),
+    ]
+    return [(i, t) for i, t in dict(corpus(4)).items() if t] + rows
+
+
+def test_share_counts_every_place(spark, monkeypatch):
+    import twinspan.llm.spans as spans
+
+    rows = list({t: (i, t) for i, t in repeats()}.values())
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = covered(rows)
+    assert want[200] == 6000 and want[202] == 5000
+    assert {r["doc_id"]: r["shared_bytes"] for r in shared_share(df).collect()} == want
+    groups = spans.confirmed_groups
+    monkeypatch.setattr(spans, "confirmed_groups", lambda docs, hits, m, a: groups(docs, hits, m, a, local=1))
+    assert {r["doc_id"]: r["shared_bytes"] for r in shared_share(df).collect()} == want
+
+
+def test_share_over_segments(spark, monkeypatch):
+    import numpy as np
+
+    import twinspan.llm.spans as spans
+
+    monkeypatch.setattr(spans, "SEGMENT", 512)
+    for _, t in repeats():
+        data = np.frombuffer(t.encode(), np.uint8)
+        fp, ctx, pos = spans.anchor_places(data, 200, 80)
+        runs = list(zip(*(x.tolist() for x in spans.anchor_runs(data, 200, 80)), strict=True))
+        places = {}
+        for f, x, p in zip(fp.view(np.int64).tolist(), ctx.view(np.int64).tolist(), pos.tolist(), strict=True):
+            places.setdefault((f, x), []).append(p)
+        assert {(f, x, o) for f, x, o, _, _ in runs} == {(*k, min(v)) for k, v in places.items()}
+        assert all(any((f, x) == k and a <= p <= b for f, x, _, a, b in runs) for k, v in places.items() for p in (min(v), max(v)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, c int, fp int")
     assert shared_span_pairs(df).count() == 0 and shared_share(df).count() == 0

@@ -76,8 +76,8 @@ def window_argmin(values: np.ndarray, window: int) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
-def anchors_of(data: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, hash of all paragraphs' bytes around it, position; distinct by both hashes."""
+def anchor_places(data: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, hash of all paragraphs' bytes around it, position, of every anchor."""
     n, reach, window = len(data), min_bytes - anchor, min_bytes - anchor + 1
     found = []
     for begin in range(0, max(1, n - min_bytes + 1), SEGMENT):
@@ -97,12 +97,38 @@ def anchors_of(data: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarra
         ctx = mix(context.at(start, end - start) + (at - start).astype(_U) * _U(_M1) + (end - start).astype(_U) * _U(_MIX))
         found.append((fp, ctx, p + begin))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64)
     fp, ctx, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+    return fp, ctx, pos
+
+
+def anchors_of(data: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, hash of all paragraphs' bytes around it, first position; distinct by both hashes."""
+    fp, ctx, pos = anchor_places(data, min_bytes, anchor)
     _, once = np.unique(fp ^ (ctx * _U(3)), return_index=True)
     return fp[once].view(np.int64), ctx[once].view(np.int64), pos[once]
 
 
+def anchor_runs(data: np.ndarray, min_bytes: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """As :func:`anchors_of`, and the first and last position of each run of places.
+
+    Places of one anchor and surrounding at most ``min_bytes`` apart are one
+    run: what is shared around each of them is at least that long, so nothing
+    between them is left out.
+    """
+    fp, ctx, pos = anchor_places(data, min_bytes, anchor)
+    key = fp ^ (ctx * _U(3))
+    order = np.lexsort((pos, key))
+    fp, ctx, pos, key = fp[order], ctx[order], pos[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    start = new.copy()
+    start[1:] |= np.diff(pos) > min_bytes
+    once = pos[new][np.cumsum(new) - 1]
+    last = pos[np.append(np.flatnonzero(start)[1:], len(pos)) - 1] if len(pos) else pos
+    return fp[start].view(np.int64), ctx[start].view(np.int64), once[start], pos[start], last
+
+
 def local_cliques(contexts: list[np.ndarray], left: list[int], min_bytes: int, anchor: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Among surroundings of one anchor, each set that shares a paragraph.
 
@@ -145,23 +171,21 @@ def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 _ANCHORS = "fp bigint, ctx bigint, c bigint, pos int"
+_RUNS = f"{_ANCHORS}, first int, last int"
 _AROUND = "fp bigint, c bigint, pos int, before int, hot boolean, context binary"
-_GROUPS = "k1 bigint, k2 bigint, c bigint, lo int, hi int"
+_GROUPS = "k1 bigint, k2 bigint, c bigint, pos int, lo int, hi int"
 
 
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=[n.split()[0] for n in names.split(", ")])
 
 
-def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOCAL_CONTEXTS) -> DataFrame:
-    """``k1, k2, c, lo, hi``: classes of texts with the same group key hold the same bytes.
+def anchor_hits(docs: DataFrame, min_bytes: int, anchor: int, runs: bool = False) -> DataFrame:
+    """``fp, ctx, c, pos``: anchors that several texts hold, with their first place in a text.
 
-    ``docs`` has doc_id, c (hash of the text) and text; exact copies have one
-    class, so copies cost nothing after the first shuffle's map side. ``lo``
-    and ``hi`` are the first and last shared byte; ``hi`` may lie behind the
-    end of the text. Within one key the groups cover all shared bytes.
+    With ``runs`` a row for each run of places, ``first`` to ``last``; that
+    with ``first = pos`` is the first.
     """
-    reach = min_bytes - anchor
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,18 +195,45 @@ def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOC
                 if c in seen:
                     continue
                 seen.add(c)
-                fp, ctx, pos = anchors_of(data, min_bytes, anchor)
-                rows.append((fp, ctx, np.full(len(fp), c, np.int64), pos.astype(np.int32)))
+                fp, ctx, *places = (anchor_runs if runs else anchors_of)(data, min_bytes, anchor)
+                rows.append((fp, ctx, np.full(len(fp), c, np.int64), *(x.astype(np.int32) for x in places)))
             if rows:
-                yield _batch(rows, _ANCHORS)
+                yield _batch(rows, _RUNS if runs else _ANCHORS)
 
-    anchors = spread(docs.select("c", "text")).mapInArrow(find, _ANCHORS)
+    anchors = spread(docs.select("c", "text")).mapInArrow(find, _RUNS if runs else _ANCHORS)
     shared = anchors.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("fp")
-    hits = cut(anchors.join(shared, "fp", "left_semi").groupBy("fp", "ctx", "c").agg(F.min("pos").alias("pos")))
+    kept = anchors.join(shared, "fp", "left_semi")
+    return cut(kept.distinct() if runs else kept.groupBy("fp", "ctx", "c").agg(F.min("pos").alias("pos")))
+
+
+def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOCAL_CONTEXTS) -> DataFrame:
+    """``k1, k2, c, lo, hi``: classes of texts with the same group key hold the same bytes.
+
+    ``docs`` has doc_id, c (hash of the text) and text; exact copies have one
+    class, so copies cost nothing after the first shuffle's map side. ``lo``
+    and ``hi`` are the first and last shared byte; ``hi`` may lie behind the
+    end of the text. Of equal surroundings in one text the first stands for
+    all, which is enough to tell pairs; :func:`shared_spans` has every place.
+    """
+    return confirmed_groups(docs, anchor_hits(docs, min_bytes, anchor), min_bytes, anchor, local).drop("pos")
+
+
+def shared_spans(groups: DataFrame, hits: DataFrame) -> DataFrame:
+    """``c, lo, hi``: all shared bytes of each class, from the groups and the hits with runs they come from."""
+    shared = groups.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k1", "k2")
+    spans = groups.join(shared, ["k1", "k2"], "left_semi").select(F.col("k1").alias("fp"), "c", "pos", "lo", "hi")
+    again = hits.filter("last > pos").select("fp", "c", "pos", "first", "last")
+    moved = spans.join(again, ["fp", "c", "pos"]).select("c", (F.col("lo") + F.col("first") - F.col("pos")).alias("lo"), (F.col("hi") + F.col("last") - F.col("pos")).alias("hi"))
+    return spans.select("c", "lo", "hi").unionByName(moved)
+
+
+def confirmed_groups(docs: DataFrame, hits: DataFrame, min_bytes: int, anchor: int, local: int = LOCAL_CONTEXTS) -> DataFrame:
+    """The groups of :func:`shared_groups` with ``pos``, the place of the anchor (k1), from hits of one row per surrounding."""
+    reach = min_bytes - anchor
     # one context everywhere is verified by the context hash; the others need their bytes
     kinds = hits.groupBy("fp", "ctx").agg(F.count("*").alias("n")).groupBy("fp").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     pure = hits.join(kinds, "fp", "left_anti").select(
-        F.col("fp").alias("k1"), F.col("ctx").alias("k2"), "c", F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + min_bytes - 1).alias("hi")
+        F.col("fp").alias("k1"), F.col("ctx").alias("k2"), "c", "pos", F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + min_bytes - 1).alias("hi")
     )
     hot = F.col("contexts") > local
     wanted = hits.join(kinds, "fp").groupBy("c").agg(F.collect_list(F.struct("fp", "pos", hot.alias("hot"))).alias("at"))
@@ -213,7 +264,7 @@ def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOC
             return []
         h = RollingHash(np.frombuffer(context, np.uint8), _M2).all(min_bytes).view(np.int64)
         lo = (pos - before + np.arange(len(h))).astype(np.int32)
-        return [(np.full(len(h), fp), h, np.full(len(h), c), lo, lo + np.int32(min_bytes - 1))]
+        return [(np.full(len(h), fp), h, np.full(len(h), c), np.full(len(h), pos, np.int32), lo, lo + np.int32(min_bytes - 1))]
 
     def cliques(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -222,7 +273,7 @@ def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOC
             fp = held[0][0]
             c, pos = np.array([x[1] for x in held]), np.array([x[2] for x in held])
             found = local_cliques([np.frombuffer(x[5], np.uint8) for x in held], [x[3] for x in held], min_bytes, anchor)
-            return [(np.full(len(m), fp), np.full(len(m), key), c[m], (pos[m] + lo).astype(np.int32), (pos[m] + hi).astype(np.int32)) for key, m, lo, hi in found]
+            return [(np.full(len(m), fp), np.full(len(m), key), c[m], pos[m].astype(np.int32), (pos[m] + lo).astype(np.int32), (pos[m] + hi).astype(np.int32)) for key, m, lo, hi in found]
 
         for batch in batches:
             rows = []
@@ -292,11 +343,10 @@ def shared_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """
     docs = prepared(df, doc_id, text, min_bytes)
     classes = docs.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n"), F.max(F.octet_length("text")).alias("n_bytes"))
-    groups = cut(shared_groups(docs, min_bytes, anchor))
+    hits = anchor_hits(docs, min_bytes, anchor, runs=True)
+    groups = cut(confirmed_groups(docs, hits.filter("first = pos").select("fp", "ctx", "c", "pos"), min_bytes, anchor))
     pairs = cut(class_pairs(groups))
-    shared = groups.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    spans = groups.join(shared, ["k1", "k2"], "left_semi").select("c", "lo", "hi")
-    periods = merge_intervals(spans, "c", "lo", "hi").filter("range_kind = 'period'")
+    periods = merge_intervals(shared_spans(groups, hits), "c", "lo", "hi").filter("range_kind = 'period'")
     covered = periods.join(classes.select("c", "n_bytes"), "c").groupBy("c").agg(F.sum(F.least("hi", F.col("n_bytes") - 1) - F.col("lo") + 1).alias("covered"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("links"))
