@@ -10,6 +10,7 @@ from twinspan import config
 from twinspan.engine import Engine, fnv1a, resolve_format
 from twinspan.operators.history import parse_relative_date, resolve_baseline, resolve_since
 from twinspan.sources.ignore import ignored, ingest_status, rule_regex
+from twinspan.sources.tree import read_corpus
 from twinspan.sources.warehouse import NewerStore, Warehouse
 from twinspan.streaming.incremental import append_fingerprints, fingerprint_stream
 
@@ -76,6 +77,34 @@ def test_commands(spark, tree):
     assert engine.clean() is False and engine.clean(True) is True and not os.path.exists(tree / ".twinspan")
 
 
+def test_hidden_and_underscored_files_are_read(spark, tmp_path):
+    names = {"pkg/__init__.py", "pkg/_util.py", "pkg/a.py", "_private/b.py", ".hid/c.py", ".eslintrc.js", "odd name%20.py", ".gitignore"}
+    for name in (*names, ".git/config", "out/d.py", "vendor/_e.py", "w/part.py"):
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_text("out/\n" if name == ".gitignore" else f"x = '{name}'\n")
+    os.symlink(tmp_path, tmp_path / "pkg" / "loop")
+    os.symlink(tmp_path / "nowhere", tmp_path / "pkg" / "gone.py")
+    (tmp_path / "_bad.py").write_bytes(b"x = '\xff\xfe'\n")
+    corpus, issues = read_corpus(spark, str(tmp_path), skip=("w",))
+    rows = {r["path"]: r for r in corpus.collect()}
+    assert set(rows) == names and rows["pkg/_util.py"]["text"] == "x = 'pkg/_util.py'\n" and rows["pkg/a.py"]["length"] == 15
+    assert rows["pkg/a.py"]["mtime"] == int(os.stat(tmp_path / "pkg/a.py").st_mtime)
+    assert {(r["path"], r["kind"]) for r in issues.collect()} == {("_bad.py", "utf8")}
+    everything, _ = read_corpus(spark, str(tmp_path), everything=True, skip=("w",))
+    assert {r["path"] for r in everything.collect()} == names | {"out/d.py", "vendor/_e.py"}
+    os.makedirs(tmp_path / "empty")
+    assert read_corpus(spark, str(tmp_path / "empty"))[0].count() == 0
+
+
+def test_files_lost_after_listing_are_issues(spark, tmp_path):
+    from twinspan.sources.tree import list_files, with_content
+
+    (tmp_path / "_a.py").write_text("x = 1")
+    listed = list_files(spark, str(tmp_path))
+    os.remove(tmp_path / "_a.py")
+    assert [(r["path"], r["content"], bool(r["error"])) for r in with_content(listed, str(tmp_path)).collect()] == [("_a.py", None, True)]
+
+
 def test_store_swaps_and_refuses_newer(spark, tmp_path):
     root = str(tmp_path / "w")
     wh = Warehouse(spark, root)

@@ -69,8 +69,9 @@ class Engine:
 
     def scan(self, gitignore: bool = True, everything: bool = False, now: int | None = None) -> int:
         """Scan the tree, replace the current groups, append to the history; the new scan's id."""
-        corpus, issues = read_corpus(self.spark, self.root, gitignore, everything, self.config.include_submodules, self.config.max_file_size)
-        corpus = cut(corpus.filter(~F.col("path").startswith(".twinspan/")))
+        own = (".twinspan", os.path.relpath(self.warehouse, self.root).replace(os.sep, "/"))
+        corpus, issues = read_corpus(self.spark, self.root, gitignore, everything, self.config.include_submodules, self.config.max_file_size, skip=own)
+        corpus = cut(corpus)
         found, more = self.find(corpus)
         wh = Warehouse(self.spark, self.warehouse)
         found = cut(found)

@@ -3,21 +3,90 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.sources.ignore import MAX_FILE_SIZE, has_generated_header, ignored, in_git_dir, looks_binary
 
+#: Bytes of files in one task, and in one batch of it.
+TASK_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
+
+_LISTED = "raw binary, path string, length bigint, mtime bigint, error string"
+
+
+def walk(root: str) -> Iterator[tuple[bytes, int, int, str | None]]:
+    """Path below the root, size, time in seconds and error of every file, hidden ones too, but for .git folders.
+
+    Links are followed, but not in circles. A folder or file that cannot be looked at is a row with an error.
+    """
+    base = os.fsencode(root)
+    todo = [(b"", frozenset())]
+    while todo:
+        folder, above = todo.pop()
+        try:
+            found = os.stat(os.path.join(base, folder))
+            here = (found.st_dev, found.st_ino)
+            if here in above:
+                continue
+            with os.scandir(os.path.join(base, folder)) as entries:
+                names = sorted(entries, key=lambda e: e.name)
+        except OSError as e:
+            if not folder:
+                raise
+            yield folder, 0, 0, e.strerror
+            continue
+        for entry in names:
+            path = os.path.join(folder, entry.name)
+            try:
+                if entry.is_dir():
+                    if entry.name != b".git":
+                        todo.append((path, above | {here}))
+                elif entry.is_file():
+                    found = entry.stat()
+                    yield path, found.st_size, int(found.st_mtime), None
+            except OSError as e:
+                yield path, 0, 0, e.strerror
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``raw`` and ``path`` relative to root, ``length, mtime, error``. The driver walks, as every file source lists there."""
+    rows = list(walk(root))
+    raw, length, mtime, error = zip(*rows, strict=True) if rows else ((), (), (), ())
+    names = [n.split()[0] for n in _LISTED.split(", ")]
+    types = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    columns = (raw, [x.decode("utf-8", "replace") for x in raw], length, mtime, error)
+    return spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names), _LISTED).repartition(max(spark.sparkContext.defaultParallelism, sum(length) // TASK_BYTES))
 
-def read_files(spark: SparkSession, root: str, limit: int | None = MAX_FILE_SIZE) -> DataFrame:
-    """``path`` relative to root, ``content``, ``length``, ``modificationTime``; the size bound reaches the reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if limit is not None:
-        files = files.filter(F.col("length") <= limit)
-    base = os.path.abspath(root).rstrip("/") + "/"
-    at = F.locate(base, F.col("path"))
-    return files.select(F.when(at > 0, F.expr(f"substring(path, locate('{base}', path) + {len(base)})")).otherwise(F.col("path")).alias("path"), "content", "length", "modificationTime")
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with ``content``, read where the partition is; an ``error`` instead where that fails."""
+    base = os.fsencode(os.path.abspath(root))
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    names = ["path", "length", "mtime", "error", "content"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for raw, path, length, mtime, error in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                content = None
+                if error is None:
+                    try:
+                        with open(os.path.join(base, raw), "rb") as f:
+                            content = f.read()
+                    except OSError as e:
+                        error = e.strerror
+                rows.append((path, length, mtime, error, content))
+                size += len(content or b"")
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return files.select("raw", "path", "length", "mtime", "error").mapInArrow(read, "path string, length bigint, mtime bigint, error string, content binary")
 
 
 def rules_file(root: str, name: str) -> tuple[str, ...]:
@@ -33,23 +102,35 @@ def submodules(root: str) -> list[str]:
     return [os.path.relpath(d, root).replace(os.sep, "/") for d, folders, files in os.walk(root) if d != root and ".git" in (*folders, *files) and "/.git/" not in d + "/"]
 
 
-def read_corpus(spark: SparkSession, root: str, gitignore: bool = True, everything: bool = False, include_submodules: bool = False, limit: int = MAX_FILE_SIZE, project_rules: str = ".twinspanignore") -> tuple[DataFrame, DataFrame]:
-    """The corpus and its issues. Rule files are small and read on the driver."""
-    files = read_files(spark, root, None if everything else limit)
+def read_corpus(
+    spark: SparkSession,
+    root: str,
+    gitignore: bool = True,
+    everything: bool = False,
+    include_submodules: bool = False,
+    limit: int = MAX_FILE_SIZE,
+    project_rules: str = ".twinspanignore",
+    skip: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The corpus and its issues, without the folders of ``skip``. Rule files are small and read on the driver."""
     path = F.col("path")
-    own = rules_file(root, project_rules)
-    files = files.filter(~ignored(path, own, not everything))
+    files = list_files(spark, root).filter(~in_git_dir(path))
+    for folder in skip:
+        files = files.filter(~path.startswith(folder + "/"))
+    files = files.filter(~ignored(path, rules_file(root, project_rules), not everything))
     if not everything:
-        files = files.filter(~in_git_dir(path))
+        files = files.filter(F.col("length") <= limit)
         if gitignore:
             files = files.filter(~ignored(path, rules_file(root, ".gitignore"), False))
-        files = files.filter(~looks_binary(F.col("content")))
-    else:
-        files = files.filter(~in_git_dir(path))
     if not include_submodules:
         for folder in submodules(root):
             files = files.filter(~path.startswith(folder + "/"))
+    files = with_content(files, root)
+    unread = files.filter("error IS NOT NULL").select("path", F.lit("read_error").alias("kind"), F.col("error").alias("message"))
+    files = files.filter("error IS NULL")
+    if not everything:
+        files = files.filter(~looks_binary(F.col("content")))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    issues = files.filter(~valid).select("path", F.lit("utf8").alias("kind"), F.lit("invalid UTF-8").alias("message"))
-    corpus = files.filter(valid).select("path", F.col("content").cast("string").alias("text"), "length", F.unix_seconds("modificationTime").alias("mtime"))
+    issues = files.filter(~valid).select("path", F.lit("utf8").alias("kind"), F.lit("invalid UTF-8").alias("message")).unionByName(unread)
+    corpus = files.filter(valid).select("path", F.col("content").cast("string").alias("text"), "length", "mtime")
     return (corpus if everything else corpus.filter(~has_generated_header(F.col("text")))), issues
