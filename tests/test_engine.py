@@ -96,6 +96,23 @@ def test_hidden_and_underscored_files_are_read(spark, tmp_path):
     assert read_corpus(spark, str(tmp_path / "empty"))[0].count() == 0
 
 
+def test_nested_git_rules(tmp_path):
+    from twinspan.sources.tree import walk
+
+    for name, text in {
+        ".gitignore": "/out/\n*.gen.py\nlib/*\n!lib/b.py\n",
+        ".git/info/exclude": "local.py\n",
+        "a/.gitignore": "skip.py\n/here\n!x.gen.py\n",
+        "out/.gitignore": "!c.py\n",
+        **dict.fromkeys(("local.py", "x.gen.py", "skip.py", "a/skip.py", "a/d/skip.py", "a/here/e.py", "a/d/here/e.py", "a/x.gen.py", "out/c.py", "a/out/c.py", "lib/a.py", "lib/b.py"), "x"),
+    }.items():
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {os.fsdecode(r[0]) for r in walk(str(tmp_path), True)}
+    assert got == {".gitignore", "a/.gitignore", "skip.py", "a/d/here/e.py", "a/x.gen.py", "a/out/c.py", "lib/b.py"}
+    assert len(list(walk(str(tmp_path)))) == 15
+
+
 def test_files_lost_after_listing_are_issues(spark, tmp_path):
     from twinspan.sources.tree import list_files, with_content
 

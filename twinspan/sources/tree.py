@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspan.sources.ignore import MAX_FILE_SIZE, has_generated_header, ignored, in_git_dir, looks_binary
+from twinspan.sources.ignore import MAX_FILE_SIZE, has_generated_header, ignored, in_git_dir, looks_binary, rule_regex
 
 #: Bytes of files in one task, and in one batch of it.
 TASK_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
@@ -17,15 +18,40 @@ TASK_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 _LISTED = "raw binary, path string, length bigint, mtime bigint, error string"
 
 
-def walk(root: str) -> Iterator[tuple[bytes, int, int, str | None]]:
+def git_rules(root: bytes, folder: bytes) -> tuple:
+    """Rules of a folder's .gitignore, at the root after those of .git/info/exclude, as (folder, regex, folders only, kept)."""
+    lines = []
+    for name in ((b".git/info/exclude",) if not folder else ()) + (b".gitignore",):
+        try:
+            with open(os.path.join(root, folder, name), encoding="utf-8", errors="replace") as f:
+                lines += f.read().splitlines()
+        except OSError:
+            pass
+    found = []
+    for regex, keep in filter(None, map(rule_regex, lines)):
+        core = regex.removesuffix("(?:/.*)?$")
+        only = core == regex
+        found.append((folder, re.compile(core.removesuffix("/.*$") + r"\Z"), only, keep))
+    return tuple(found)
+
+
+def git_ignored(path: bytes, is_dir: bool, rules: tuple) -> bool:
+    """The last rule that matches decides, deeper files after shallower ones. Folders above are not ignored."""
+    for folder, regex, only, keep in reversed(rules):
+        if (is_dir or not only) and regex.match(os.fsdecode(path[len(folder) + 1 :] if folder else path)):
+            return not keep
+    return False
+
+
+def walk(root: str, gitignore: bool = False) -> Iterator[tuple[bytes, int, int, str | None]]:
     """Path below the root, size, time in seconds and error of every file, hidden ones too, but for .git folders.
 
     Links are followed, but not in circles. A folder or file that cannot be looked at is a row with an error.
     """
     base = os.fsencode(root)
-    todo = [(b"", frozenset())]
+    todo = [(b"", frozenset(), ())]
     while todo:
-        folder, above = todo.pop()
+        folder, above, rules = todo.pop()
         try:
             found = os.stat(os.path.join(base, folder))
             here = (found.st_dev, found.st_ino)
@@ -38,12 +64,16 @@ def walk(root: str) -> Iterator[tuple[bytes, int, int, str | None]]:
                 raise
             yield folder, 0, 0, e.strerror
             continue
+        if gitignore:
+            rules += git_rules(base, folder)
         for entry in names:
             path = os.path.join(folder, entry.name)
             try:
+                if git_ignored(path, entry.is_dir(), rules):
+                    continue
                 if entry.is_dir():
                     if entry.name != b".git":
-                        todo.append((path, above | {here}))
+                        todo.append((path, above | {here}, rules))
                 elif entry.is_file():
                     found = entry.stat()
                     yield path, found.st_size, int(found.st_mtime), None
@@ -51,9 +81,9 @@ def walk(root: str) -> Iterator[tuple[bytes, int, int, str | None]]:
                 yield path, 0, 0, e.strerror
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, gitignore: bool = False) -> DataFrame:
     """``raw`` and ``path`` relative to root, ``length, mtime, error``. The driver walks, as every file source lists there."""
-    rows = list(walk(root))
+    rows = list(walk(root, gitignore))
     raw, length, mtime, error = zip(*rows, strict=True) if rows else ((), (), (), ())
     names = [n.split()[0] for n in _LISTED.split(", ")]
     types = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string())
@@ -114,14 +144,12 @@ def read_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """The corpus and its issues, without the folders of ``skip``. Rule files are small and read on the driver."""
     path = F.col("path")
-    files = list_files(spark, root).filter(~in_git_dir(path))
+    files = list_files(spark, root, gitignore and not everything).filter(~in_git_dir(path))
     for folder in skip:
         files = files.filter(~path.startswith(folder + "/"))
     files = files.filter(~ignored(path, rules_file(root, project_rules), not everything))
     if not everything:
         files = files.filter(F.col("length") <= limit)
-        if gitignore:
-            files = files.filter(~ignored(path, rules_file(root, ".gitignore"), False))
     if not include_submodules:
         for folder in submodules(root):
             files = files.filter(~path.startswith(folder + "/"))
