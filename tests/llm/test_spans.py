@@ -136,3 +136,47 @@ def test_share_over_segments(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, c int, fp int")
     assert shared_span_pairs(df).count() == 0 and shared_share(df).count() == 0
+
+
+def test_hot_header_in_two_variants(spark):
+    """Each text shares the header with all, its variant with half of them; more surroundings than one task takes."""
+    rng = random.Random(15)
+    noise = lambda n: "".join(rng.choice("qwertyuiop  ") for _ in range(n))
+    head, tail = noise(320), noise(320)
+    rows = [(i, head + ("one" if i % 2 else "another") + tail[: 300 + i % 2] + noise(90)) for i in range(2500)] + [(9000 + i, noise(700)) for i in range(20)]
+    got = {r["doc_id"]: r for r in shared_share(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert {got[i]["links"] for i in range(2500)} == {2499} and {got[i]["class_id"] for i in range(2500)} == {0}
+    assert all(got[9000 + i]["links"] == 0 for i in range(20))
+    assert all(620 <= got[i]["shared_bytes"] <= 640 for i in range(2500))
+
+
+def test_link_counts_equal_pairs(spark):
+    from twinspan.llm.spans import link_counts
+
+    rng = random.Random(16)
+    groups = {g: set(rng.sample(range(40), rng.randint(2, 12))) for g in range(25)} | {100: set(range(30)), 101: set(range(12)), 102: set(range(25))}
+    rows = [(g, c) for g, cs in groups.items() for c in cs]
+    want: dict[int, set] = {}
+    for cs in groups.values():
+        for c in cs:
+            want.setdefault(c, set()).update(cs - {c})
+    got = {r["c"]: r["links"] for r in link_counts(spark.createDataFrame(rows, "g bigint, c bigint")).collect()}
+    assert got == {c: len(x) for c, x in want.items()}
+
+
+def test_rows_of_shared_anchors_come_through_in_any_batches():
+    import numpy as np
+
+    from twinspan.llm.spans import batch_kinds, shared_rows
+
+    rng = random.Random(17)
+    rows = sorted({(rng.randint(0, 30), rng.randint(0, 2), rng.randint(0, 3)) for _ in range(60)} | {(50, 1, 1), (50, 2, 1)})
+    fp, ctx, c = (np.array(x, np.int64) for x in zip(*rows))
+    kinds = batch_kinds(fp, ctx, c)
+    assert all((k == 0) == (sum(r[:2] == q[:2] for q in rows) == 1) for r, k in zip(rows, kinds.tolist()))
+    columns = [fp, ctx, c, np.zeros(len(fp), np.int8)]
+    want = [r for r in rows if len({q[2] for q in rows if q[0] == r[0]}) > 1]
+    for size in (1, 2, 7, 100):
+        parts = [[x[i : i + size] for x in columns] for i in range(0, len(fp), size)]
+        found = [tuple(int(x[i]) for x in out[:3]) for out in shared_rows(iter(parts)) for i in range(len(out[0]))]
+        assert sorted(found) == want

@@ -170,14 +170,65 @@ def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[a:b]
 
 
-_ANCHORS = "fp bigint, ctx bigint, c bigint, pos int"
-_RUNS = f"{_ANCHORS}, first int, last int"
-_AROUND = "fp bigint, c bigint, pos int, before int, hot boolean, context binary"
-_GROUPS = "k1 bigint, k2 bigint, c bigint, pos int, lo int, hi int"
+_ANCHORS = "fp bigint, ctx bigint, c bigint, pos int, kind tinyint"
+_RUNS = "fp bigint, ctx bigint, c bigint, pos int, first int, last int, kind tinyint"
+_AROUND = "fp bigint, ctx bigint, before int, hot boolean, context binary"
+_CLIQUES = "fp bigint, key bigint, ctx bigint, lo int, hi int"
+#: Kinds of anchor rows: met once in its batch, the first of several texts there, another of them.
+ONCE, FIRST, MORE = 0, 1, 2
+#: The list of places to look at is broadcast up to so many.
+BROADCAST_PLACES = 400_000
 
 
-def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=[n.split()[0] for n in names.split(", ")])
+def _names(schema: str) -> list[str]:
+    return [n.split()[0] for n in schema.split(", ")]
+
+
+def _batch(columns: list[np.ndarray] | tuple[np.ndarray, ...], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_names(schema))
+
+
+def batch_kinds(fp: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Kind of each row; rows of one anchor and surrounding in the first of its texts are no more than one."""
+    key = fp.view(_U) ^ (ctx.view(_U) * _U(3))
+    order = np.argsort(key, kind="stable")
+    k, cs = key[order], c[order]
+    start = np.ones(len(k), bool)
+    start[1:] = k[1:] != k[:-1]
+    group = np.cumsum(start) - 1
+    other = cs != cs[start][group]
+    several = np.bincount(group, weights=other, minlength=int(start.sum())) > 0 if len(k) else start
+    kinds = np.empty(len(k), np.int8)
+    kinds[order] = np.where(other, MORE, np.where(several[group], FIRST, ONCE))
+    return kinds
+
+
+def shared_rows(batches: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Of rows sorted by their first column (columns fp, ctx, c, ..., kind) those whose fp stands in several texts.
+
+    An anchor's rows are held back only while all are of one text.
+    """
+    held: list[np.ndarray] | None = None
+    open_fp = None  # an anchor known to be shared that may go on in the next batch
+    for rows in batches:
+        if held is not None:
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+            held = None
+        fp, c, kind = rows[0], rows[2], rows[-1]
+        if not len(fp):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+        several = (np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)) | (np.maximum.reduceat(kind, start) > ONCE)
+        if open_fp is not None and fp[0] == open_fp:
+            several[0] = True
+        keep = np.repeat(several, np.diff(np.append(start, len(fp))))
+        if several[-1]:
+            open_fp = fp[-1]
+        else:
+            tail = slice(start[-1], None)
+            _, once = np.unique(np.stack([x[tail] for x in rows[1:-1]]), axis=1, return_index=True)  # copies of the text
+            held = [x[tail][np.sort(once)] for x in rows]
+        yield [x[keep] for x in rows]
 
 
 def anchor_hits(docs: DataFrame, min_bytes: int, anchor: int, runs: bool = False) -> DataFrame:
@@ -185,7 +236,14 @@ def anchor_hits(docs: DataFrame, min_bytes: int, anchor: int, runs: bool = False
 
     With ``runs`` a row for each run of places, ``first`` to ``last``; that
     with ``first = pos`` is the first.
+
+    Anchors are made once and cross one exchange. The first text of an anchor
+    and surrounding in a batch goes to the anchor's task, the other ones are
+    known to share it already and are spread, so a hot anchor is one row per
+    batch there.
     """
+    schema = _RUNS if runs else _ANCHORS
+    count = schema.count(",")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,12 +256,29 @@ def anchor_hits(docs: DataFrame, min_bytes: int, anchor: int, runs: bool = False
                 fp, ctx, *places = (anchor_runs if runs else anchors_of)(data, min_bytes, anchor)
                 rows.append((fp, ctx, np.full(len(fp), c, np.int64), *(x.astype(np.int32) for x in places)))
             if rows:
-                yield _batch(rows, _RUNS if runs else _ANCHORS)
+                columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
+                yield _batch([*columns, batch_kinds(*columns[:3])], schema)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more: list[list[np.ndarray]] = []
 
-    anchors = spread(docs.select("c", "text")).mapInArrow(find, _RUNS if runs else _ANCHORS)
-    shared = anchors.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("fp")
-    kept = anchors.join(shared, "fp", "left_semi")
-    return cut(kept.distinct() if runs else kept.groupBy("fp", "ctx", "c").agg(F.min("pos").alias("pos")))
+        def once() -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+                rest = rows[-1] == MORE
+                more.append([x[rest] for x in rows])
+                yield [x[~rest] for x in rows]
+
+        for rows in shared_rows(once()):
+            for part in (*more, rows):
+                yield _batch(part[:count], ", ".join(schema.split(", ")[:count]))
+            more.clear()
+        for part in more:
+            yield _batch(part[:count], ", ".join(schema.split(", ")[:count]))
+
+    anchors = spread(docs.select("c", "text")).mapInArrow(find, schema)
+    dealt = anchors.repartition(F.when(F.col("kind") == MORE, F.xxhash64("c", "fp")).otherwise(F.col("fp"))).sortWithinPartitions("fp")
+    return cut(dealt.mapInArrow(select, ", ".join(schema.split(", ")[:count])).distinct())
 
 
 def shared_groups(docs: DataFrame, min_bytes: int, anchor: int, local: int = LOCAL_CONTEXTS) -> DataFrame:
@@ -228,82 +303,106 @@ def shared_spans(groups: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def confirmed_groups(docs: DataFrame, hits: DataFrame, min_bytes: int, anchor: int, local: int = LOCAL_CONTEXTS) -> DataFrame:
-    """The groups of :func:`shared_groups` with ``pos``, the place of the anchor (k1), from hits of one row per surrounding."""
+    """The groups of :func:`shared_groups` with ``pos``, the place of the anchor (k1), from hits of one row per surrounding.
+
+    Texts with one anchor and surrounding share all of it: a group by itself.
+    Where an anchor has several surroundings, one text of each is looked at,
+    what they share is found among the surroundings, and the groups are spread
+    to all texts that have them. So the cost does not grow with the copies.
+    """
     reach = min_bytes - anchor
-    # one context everywhere is verified by the context hash; the others need their bytes
-    kinds = hits.groupBy("fp", "ctx").agg(F.count("*").alias("n")).groupBy("fp").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    pure = hits.join(kinds, "fp", "left_anti").select(
-        F.col("fp").alias("k1"), F.col("ctx").alias("k2"), "c", "pos", F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + min_bytes - 1).alias("hi")
-    )
-    hot = F.col("contexts") > local
-    wanted = hits.join(kinds, "fp").groupBy("c").agg(F.collect_list(F.struct("fp", "pos", hot.alias("hot"))).alias("at"))
+    whole = hits.select(F.col("fp").alias("k1"), F.col("ctx").alias("k2"), "c", "pos", F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + min_bytes - 1).alias("hi"))
+    kinds = cut(hits.groupBy("fp", "ctx").agg(F.min(F.struct("c", "pos")).alias("r")).select("fp", "ctx", "r.c", "r.pos"))
+    several = kinds.groupBy("fp").agg(F.count("*").alias("contexts")).filter("contexts > 1")
+    looked_at = kinds.join(several, "fp")
+    todo = looked_at.groupBy("c").agg(F.collect_list(F.struct("fp", "ctx", "pos", (F.col("contexts") > local).alias("hot"))).alias("at"))
     first = docs.groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    todo = wanted.join(first, "c").withColumnRenamed("c", "wc").withColumnRenamed("doc_id", "wid")
-    looked = docs.join(todo, (F.col("doc_id") == F.col("wid")) & (F.col("c") == F.col("wc"))).select("c", "text", F.col("at.fp").alias("fps"), F.col("at.pos").alias("ats"), F.col("at.hot").alias("hots"))
+    todo = cut(todo.join(first, "c").select(F.col("c").alias("wc"), F.col("doc_id").alias("wid"), "at"))
+    few = todo.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0] <= BROADCAST_PLACES
+    looked = docs.join(F.broadcast(todo) if few else todo, (F.col("doc_id") == F.col("wid")) & (F.col("c") == F.col("wc"))).select("c", "text", F.col("at.fp").alias("fps"), F.col("at.ctx").alias("ctxs"), F.col("at.pos").alias("ats"), F.col("at.hot").alias("hots"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, seen = ([], [], [], [], [], []), set()
+            out, seen = ([], [], [], [], []), set()
             lists = zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), *batch.columns[2:], strict=True)
-            for c, data, fps, ats, hots in lists:
+            for c, data, fps, ctxs, ats, hots in lists:
                 if c in seen:
                     continue
                 seen.add(c)
-                for fp, pos, spread in zip(fps.as_py(), ats.as_py(), hots.as_py(), strict=True):
+                for fp, ctx, pos, spread in zip(fps.as_py(), ctxs.as_py(), ats.as_py(), hots.as_py(), strict=True):
                     a = max(0, pos - reach)
-                    for column, value in zip(out, (fp, c, pos, pos - a, spread, data[a : pos + min_bytes].tobytes()), strict=True):
+                    for column, value in zip(out, (fp, ctx, pos - a, spread, data[a : pos + min_bytes].tobytes()), strict=True):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["fp", "c", "pos", "before", "hot", "context"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_AROUND))
 
     # an anchor with few surroundings goes to one task; a hot one is spread and grouped by paragraph
-    around = looked.mapInArrow(surroundings, _AROUND).repartition("fp", F.when(F.col("hot"), F.pmod(F.xxhash64("c"), F.lit(1024)))).sortWithinPartitions("fp")
-
-    def paragraphs(fp: int, c: int, pos: int, before: int, _: bool, context: bytes) -> list[tuple]:
-        if len(context) < min_bytes:
-            return []
-        h = RollingHash(np.frombuffer(context, np.uint8), _M2).all(min_bytes).view(np.int64)
-        lo = (pos - before + np.arange(len(h))).astype(np.int32)
-        return [(np.full(len(h), fp), h, np.full(len(h), c), np.full(len(h), pos, np.int32), lo, lo + np.int32(min_bytes - 1))]
+    around = looked.mapInArrow(surroundings, _AROUND).repartition("fp", F.when(F.col("hot"), F.pmod(F.col("ctx"), F.lit(1024)))).sortWithinPartitions("fp")
 
     def cliques(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, tuple] = {}
+        held_fp = None
 
         def group() -> list[tuple]:
-            fp = held[0][0]
-            c, pos = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-            found = local_cliques([np.frombuffer(x[5], np.uint8) for x in held], [x[3] for x in held], min_bytes, anchor)
-            return [(np.full(len(m), fp), np.full(len(m), key), c[m], pos[m].astype(np.int32), (pos[m] + lo).astype(np.int32), (pos[m] + hi).astype(np.int32)) for key, m, lo, hi in found]
+            ctx = np.array(list(held), np.int64)
+            found = local_cliques([np.frombuffer(x[1], np.uint8) for x in held.values()], [x[0] for x in held.values()], min_bytes, anchor)
+            return [(np.full(len(m), held_fp), np.full(len(m), key), ctx[m], np.full(len(m), lo, np.int32), np.full(len(m), hi, np.int32)) for key, m, lo, hi in found]
 
         for batch in batches:
             rows = []
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
+            for fp, ctx, before, hot, context in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if held and fp != held_fp:
                     rows += group()
-                    held = []
-                if row[4]:
-                    rows += paragraphs(*row)
-                else:
-                    held.append(row)
+                    held = {}
+                if not hot:
+                    held_fp = fp
+                    held[ctx] = (before, context)
+                elif len(context) >= min_bytes:
+                    h = RollingHash(np.frombuffer(context, np.uint8), _M2).all(min_bytes).view(np.int64)
+                    lo = (np.arange(len(h)) - before).astype(np.int32)
+                    rows.append((np.full(len(h), fp), h, np.full(len(h), ctx), lo, lo + np.int32(min_bytes - 1)))
             if rows:
-                yield _batch(rows, _GROUPS)
+                yield _batch([np.concatenate(x) for x in zip(*rows, strict=True)], _CLIQUES)
         if held and (rows := group()):
-            yield _batch(rows, _GROUPS)
+            yield _batch([np.concatenate(x) for x in zip(*rows, strict=True)], _CLIQUES)
+
+    found = cut(around.mapInArrow(cliques, _CLIQUES))
+    real = found.groupBy("fp", "key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).filter("a <> z").select("fp", "key")
+    parts = found.join(real, ["fp", "key"]).join(hits.select("fp", "ctx", "c", "pos"), ["fp", "ctx"])
+    return whole.unionByName(parts.select(F.col("fp").alias("k1"), F.col("key").alias("k2"), "c", "pos", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")))
 
-    return pure.unionByName(around.mapInArrow(cliques, _GROUPS))
+
+def kept_groups(groups: DataFrame) -> DataFrame:
+    """``g, c``: members of the groups of several classes; of groups with the same members one stands for all."""
+    sign = groups.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    kept = sign.groupBy("n", "x", "lo", "hi").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    return groups.join(kept, ["k1", "k2"], "left_semi").select(F.xxhash64("k1", "k2").alias("g"), "c")
 
 
 def class_pairs(groups: DataFrame) -> DataFrame:
     """``a, b``: pairs of classes with a common group, each once.
 
-    Groups with the same members are one clique; one of them is kept, so a
-    long span costs one join row per pair and not one per paragraph.
+    A long span costs one join row per pair and not one per paragraph, since
+    groups with the same members are one clique.
     """
-    sign = groups.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-    kept = sign.groupBy("n", "x", "lo", "hi").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-    rows = groups.join(kept, ["k1", "k2"], "left_semi").select("k1", "k2", "c")
-    left, right = rows.withColumnRenamed("c", "a"), rows.withColumnRenamed("c", "b")
-    return left.join(right, ["k1", "k2"]).filter("a < b").select("a", "b").distinct()
+    rows = kept_groups(groups)
+    return rows.withColumnRenamed("c", "a").join(rows.withColumnRenamed("c", "b"), "g").filter("a < b").select("a", "b").distinct()
+
+
+def link_counts(rows: DataFrame) -> DataFrame:
+    """``c, links``: how many other classes each one shares a group with, from ``g, c``.
+
+    The largest group of a class counts by its size. Of its other groups only
+    the members outside the largest one count, and those are found once for
+    each two groups, not for each class. So groups within each other, as the
+    parts of a header that most texts have, are never made into pairs.
+    """
+    sized = rows.join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")
+    largest = sized.groupBy("c").agg(F.max(F.struct("n", "g")).alias("m"), F.count("*").alias("groups")).select("c", F.col("m.g").alias("top"), F.col("m.n").alias("n"), "groups")
+    rest = rows.join(largest.filter("groups > 1").select("c", "top"), "c").filter("g <> top").select("g", "c", "top")
+    outside = rest.select("g", "top").distinct().join(rows.withColumnRenamed("c", "d"), "g").join(rows.select(F.col("g").alias("top"), F.col("c").alias("d")), ["top", "d"], "left_anti")
+    new = rest.join(outside, ["g", "top"]).select("c", "d").distinct().groupBy("c").agg(F.count("*").alias("more"))
+    return largest.join(new, "c", "left").select("c", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
 
 
 def prepared(df: DataFrame, doc_id: str, text: str, min_bytes: int) -> DataFrame:
@@ -345,12 +444,12 @@ def shared_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     classes = docs.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n"), F.max(F.octet_length("text")).alias("n_bytes"))
     hits = anchor_hits(docs, min_bytes, anchor, runs=True)
     groups = cut(confirmed_groups(docs, hits.filter("first = pos").select("fp", "ctx", "c", "pos"), min_bytes, anchor))
-    pairs = cut(class_pairs(groups))
+    rows = cut(kept_groups(groups))
     periods = merge_intervals(shared_spans(groups, hits), "c", "lo", "hi").filter("range_kind = 'period'")
     covered = periods.join(classes.select("c", "n_bytes"), "c").groupBy("c").agg(F.sum(F.least("hi", F.col("n_bytes") - 1) - F.col("lo") + 1).alias("covered"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("links"))
-    parts = connected_components(pairs, "a", "b").withColumnRenamed("node", "c")
+    degree = link_counts(rows)
+    stars = rows.join(rows.groupBy("g").agg(F.min("c").alias("least")), "g")
+    parts = connected_components(stars, "c", "least").withColumnRenamed("node", "c")
     named = classes.join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
     ids = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     per = named.join(ids, "component").join(degree, "c", "left").join(covered, "c", "left")
