@@ -171,6 +171,7 @@ def test_rows_of_shared_anchors_come_through_in_any_batches():
 
     rng = random.Random(17)
     rows = sorted({(rng.randint(0, 30), rng.randint(0, 2), rng.randint(0, 3)) for _ in range(60)} | {(50, 1, 1), (50, 2, 1)})
+    rows = sorted((f * 0x1E3779B97F4A7C15 % (1 << 62), x * 0x56E8FEB86659FD93 % (1 << 62), c) for f, x, c in rows)
     fp, ctx, c = (np.array(x, np.int64) for x in zip(*rows))
     kinds = batch_kinds(fp, ctx, c)
     assert all((k == 0) == (sum(r[:2] == q[:2] for q in rows) == 1) for r, k in zip(rows, kinds.tolist()))
