@@ -2,12 +2,13 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
 
 from twinspan.llm import bpe
-from twinspan.llm.packing import best_fit, pack_corpus
+from twinspan.llm.packing import FREQUENT, best_fit, conflicts, pack_corpus, packed
 
 needs = pytest.mark.skipif(not os.path.exists(os.path.join(bpe.TOKENIZER_DIR, bpe.BYTE_BPE_50K)), reason="no vocabulary here")
 
@@ -34,6 +35,44 @@ def test_random_runs_stay_near_the_bound():
     assert fill.max() <= 2048 and n <= 1.01 * -(-sizes.sum() // 2048) + 1
 
 
+def scanned(sizes, sources, clusters, capacity):
+    """Best fit by looking at every bin: the residual of the bin each item must go to (None: a new one or a conflict)."""
+    bins, used = best_fit(sizes, sources, clusters, capacity)
+    left, held = {}, {}
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        fit = [left[b] for b in left if left[b] >= sizes[i] and sources[i] not in held[b][0] and clusters[i] not in held[b][1]]
+        b = int(bins[i])
+        if fit:
+            assert left[b] == min(fit) and sources[i] not in held[b][0] and clusters[i] not in held[b][1]
+        left[b] = left.get(b, capacity) - int(sizes[i])
+        held.setdefault(b, (set(), set()))[0].add(sources[i])
+        held[b][1].add(clusters[i])
+    assert min(left.values()) >= 0 and len(left) == used
+
+
+def test_every_pick_is_the_tightest_compatible_bin():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        n = 300
+        clusters = np.where(rng.random(n) < 0.3, 0, rng.integers(0, 60, n))
+        scanned(rng.integers(1, 60, n), rng.integers(0, 4 + 30 * seed, n), clusters, 100)
+    assert FREQUENT < 60
+
+
+def test_a_hot_cluster_costs_no_more_than_others():
+    n = 60_000
+    began = time.perf_counter()
+    bins, used = best_fit(np.full(n, 300), np.arange(n) % 7, np.zeros(n, np.int64), 2048)
+    assert used == -(-n // 6) and time.perf_counter() - began < 5
+
+
+@needs
+def test_remaining_conflicts_are_told(spark):
+    rows = [(i, "one two three", "a" if i < 3 else f"s{i}") for i in range(6)] + [(10, "four five", "b"), (11, None, "b")]
+    got = conflicts(packed(spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1), capacity=12), 12).first()
+    assert got["containers"] == got["least"] and got["tokens"] > 0 and got["with_copy"] >= 1
+
+
 @needs
 def test_corpus(spark):
     rng = random.Random(8)

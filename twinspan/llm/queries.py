@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinspan.functions.paths import canonical_path
 from twinspan.llm.bpe import encode_corpus
-from twinspan.llm.packing import pack_corpus
+from twinspan.llm.packing import conflicts, pack_corpus, packed
 from twinspan.llm.reading import reading_levels
 from twinspan.llm.spans import shared_share, shared_span_pairs
 from twinspan.llm.validity import file_validity, invalid_rates
@@ -48,6 +48,10 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts(packed(table(spark, sf_dir, "documents")))
+
+
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
@@ -56,5 +60,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).filter("level >= 12").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_levels": p8_levels, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_shared": p5_shared, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_conflicts": p7_conflicts, "p8_levels": p8_levels, "p8_found": p8_found}
 SQL: dict[str, str] = {}
