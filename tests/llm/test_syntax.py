@@ -69,6 +69,23 @@ def test_deep_nesting_never_crashes():
         json_pushdown("[" * n)
 
 
+def test_the_grammar_holds_at_any_depth():
+    for n in (400, 40000):
+        for ext, a, b in [("js", "", ""), ("ts", "", ""), ("rs", "fn f(){", "}")]:
+            assert problem(a + "(" * n + "1" + ")" * n + b, ext) is None
+            assert problem(a + "(" * n + "1 +" + ")" * n + b, ext) is not None
+    assert problem("-" * 100000 + ")", "py") is not None
+    assert problem("(" * 150 + "1 +" + ")" * 150, "py") is not None and problem("x = (" + "-" * 100000 + "1", "py")[0] == "premature_end"
+
+
+def test_python_needs_its_own_version(monkeypatch):
+    import twinspan.llm.syntax.check as check
+
+    monkeypatch.setattr(check, "PYTHON", (3, 1))
+    with pytest.raises(RuntimeError):
+        problem("x = 1", "py")
+
+
 def test_operator_cases(spark):
     rows = [(1, "r/a.py", "x = 1", 0), (2, "r/b.py", "x = (", 0), (3, "r/c.md", "(", 0), (4, None, "(", 0), (5, "r/d.json", None, 0), (6, "r/e.json", "", 0), (2, "r/b.py", "x = (", 0), (7, "q/.rs", "(", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, path string, text string, kind int")

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import ast
+import io
 import json
 import re
 import sys
+import tokenize
 import warnings
 
 from twinspan.llm.syntax import ecma, rust
 from twinspan.llm.syntax.base import Bad, explain
 
 LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "json": "json"}
-#: Nesting up to which the grammars are followed; deeper texts are held to balanced delimiters.
-DEPTH = 30_000
+#: Frames of the recognisers' pushdown (calls of Python functions live on the heap, about 1 kB a nested level).
+#: A text that needs more, some 400,000 nested levels, is too deep for any compiler and does not parse.
+DEPTH = 4_000_000
+#: Python files are held to the grammar of this version.
+PYTHON = (3, 13)
 
 
 def _constant(name: str) -> None:
@@ -72,6 +77,8 @@ def _json(text: str) -> None:
 
 
 def _python(text: str) -> None:
+    if sys.version_info[:2] != PYTHON:
+        raise RuntimeError(f"Python files are judged by the worker's own parser, which must be {PYTHON[0]}.{PYTHON[1]}, not {sys.version.split()[0]}")
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -85,20 +92,23 @@ def _python(text: str) -> None:
     except ValueError:
         raise Bad("unexpected_token", text.find("\0")) from None
     except (RecursionError, MemoryError):
-        return  # deeper than the interpreter's own parser can say
+        _python_delimiters(text)
+        raise Bad("nesting_too_deep", 0) from None  # the language's own parser refuses it
 
 
-def _balanced(parser) -> None:
-    """Only literals and delimiters, for texts nested too deeply for the grammar."""
+def _python_delimiters(text: str) -> None:
+    """What is wrong with literals and delimiters, on an explicit stack, of a text the parser gave up on."""
     close, stack = {"(": ")", "[": "]", "{": "}"}, []
-    while parser.t or parser.at < len(parser.s):
-        if parser.t in close:
-            stack.append(close[parser.t])
-        elif parser.t and parser.t in ")]}" and (not stack or parser.t != stack.pop()):
-            raise Bad("unbalanced_delimiter", parser.at)
-        parser.next()
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(text).readline):
+            if token.type == tokenize.OP and token.string in close:
+                stack.append(close[token.string])
+            elif token.type == tokenize.OP and token.string in ")]}" and (not stack or token.string != stack.pop()):
+                raise Bad("unbalanced_delimiter", 0)
+    except (tokenize.TokenError, SyntaxError):
+        raise Bad("premature_end", len(text)) from None
     if stack:
-        raise Bad("premature_end", parser.at)
+        raise Bad("premature_end", len(text))
 
 
 def problem(text: str, extension: str) -> tuple[str, int] | None:
@@ -106,7 +116,8 @@ def problem(text: str, extension: str) -> tuple[str, int] | None:
 
     Blank texts are valid code, but no JSON. Kinds: merge_conflict_marker,
     unterminated_literal, premature_end, unbalanced_delimiter,
-    unexpected_token.
+    unexpected_token, nesting_too_deep (more than ``DEPTH`` frames, or more
+    than the parser of Python itself takes).
     """
     if sys.getrecursionlimit() < DEPTH:
         sys.setrecursionlimit(DEPTH)
@@ -118,15 +129,11 @@ def problem(text: str, extension: str) -> tuple[str, int] | None:
             if extension == "py":
                 _python(text)
             elif extension == "rs":
-                try:
-                    rust.recognise(text)
-                except RecursionError:
-                    _balanced(rust.Parser(text))
+                rust.recognise(text)
             else:
-                try:
-                    ecma.recognise(text, extension != "js", extension == "tsx")
-                except RecursionError:
-                    _balanced(ecma.Parser(text, extension != "js", extension == "tsx"))
+                ecma.recognise(text, extension != "js", extension == "tsx")
     except Bad as e:
         return explain(text, e), e.at
+    except (RecursionError, MemoryError):
+        return "nesting_too_deep", 0
     return None
