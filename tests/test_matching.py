@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from twinspan.operators.lexing import MUL, SEED, lex, token_counts, token_hash, window_hashes, windows
+from twinspan.operators.lexing import MUL, SEED, file_windows, lex, token_counts, token_hash, window_hashes, windows
 from twinspan.operators.matching import brute_force, match_runs, promote, tier_a
 
 BODY = "".join(f"    total_{i} = total_{i} + weigh(rows[{i}], 'x{i}') // note\n" for i in range(12))
@@ -67,7 +67,7 @@ def test_greedy_equals_brute_force(spark):
         parts = [rng.choice(blocks) if rng.random() < 0.8 else f"u{n}_{j} = {j}\n" for j in range(rng.randint(1, 5))]
         files.append((rng.choice(["a/b", "a-b", "a"]) + f"/f{n}.py", "".join(parts)))
     files += [(f"copies/c{i}.py", files[0][1]) for i in range(5)]
-    got = sorted((r["path"], r["start_byte"], r["end_byte"], r["h"]) for r in match_runs(corpus(spark, files)).collect())
+    got = sorted((r["path"], r["start_byte"], r["end_byte"], r["h"]) for r in match_runs(file_windows(corpus(spark, files))).collect())
     places = {}
     for p, t in files:
         tokens, starts, ends, _ = lex(t.encode())

@@ -109,7 +109,7 @@ class Engine:
         kept = occ.join(gone, ["group_hash", "path"], "left_anti")
         enough = kept.groupBy("group_id").agg(F.count("*").alias("n")).filter("n >= 2").select("group_id")
         groups = groups.join(enough, groups["id"] == enough["group_id"], "left_semi")
-        return analytics.tiers(store.group_details(groups, kept.drop("group_hash")), tier, languages)
+        return analytics.tiers(store.group_details(groups, kept.drop("group_hash")), tier, languages, F.try_element_at("occurrences", F.lit(1))["path"])
 
     def list(self, format: str = "text", tier: str = "both", languages: tuple[str, ...] = ()) -> DataFrame:
         """One row per visible group in order: ``ordinal`` and its text, json or sarif rendering."""

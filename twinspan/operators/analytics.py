@@ -13,22 +13,10 @@ from twinspan.operators.ranking import with_ordinal
 SORT_KEYS = ("severity", "impact", "file_count", "line_count", "alphabetical", "recently_dismissed")
 
 
-def measured(details: DataFrame) -> DataFrame:
-    """Details with count, lines, files and severity of their occurrences."""
-    lines = F.aggregate("occurrences", F.lit(0).cast("bigint"), lambda a, o: a + F.greatest(o["end_line"] - o["start_line"] + 1, F.lit(0)))
-    return details.select(
-        "*",
-        F.size("occurrences").cast("bigint").alias("n"),
-        lines.alias("lines"),
-        F.size(F.array_distinct(F.transform("occurrences", lambda o: o["path"]))).cast("bigint").alias("files"),
-        (F.size("occurrences") * lines).alias("severity"),
-    )
-
-
 def order_of(key: str) -> list[Column]:
-    """Sort columns of a sort key; the hash (unsigned) and id break ties."""
-    ties = [F.coalesce(hex16(F.col("group_hash")), F.lit("0" * 16)).alias("h"), F.col("id")]
-    first = F.lower(F.coalesce(F.try_element_at("occurrences", F.lit(1))["path"], F.lit("")))
+    """Sort columns of a sort key over a group summary; the hash (unsigned) and id break ties."""
+    ties = [F.coalesce(hex16(F.col("group_hash")), F.lit("0" * 16)), F.col("id")]
+    first = F.lower(F.coalesce(F.col("first.path"), F.lit("")))
     return {
         "severity": [-F.col("severity"), first, *ties],
         "impact": [-F.col("severity"), F.col("label"), *ties],
@@ -39,56 +27,55 @@ def order_of(key: str) -> list[Column]:
     }[key]
 
 
-def sorted_groups(details: DataFrame, key: str) -> DataFrame:
-    """Measured details with their position under a sort key."""
-    return with_ordinal(details, order_of(key))
+def sorted_groups(summary: DataFrame, key: str) -> DataFrame:
+    """``id, ordinal``: the position of each group under a sort key. Only the keys are sorted."""
+    order = order_of(key)
+    names = [f"k{i}" for i in range(len(order))]
+    return with_ordinal(summary.select("id", *[c.alias(n) for c, n in zip(order, names, strict=True)]), [F.col(n) for n in names]).select("id", "ordinal")
 
 
-def search(details: DataFrame, query: str) -> DataFrame:
-    """Case-insensitive substring of the label, the language or any path."""
+def search(summary: DataFrame, occurrences: DataFrame, query: str) -> DataFrame:
+    """Groups with a case-insensitive substring in their label, their language or any path."""
     needle = query.strip().lower()
     if not needle:
-        return details
-    hit = F.lower("label").contains(needle) | F.coalesce(F.lower("language").contains(needle), F.lit(False)) | F.exists("occurrences", lambda o: F.lower(o["path"]).contains(needle))
-    return details.filter(hit)
+        return summary
+    paths = occurrences.filter(F.lower("path").contains(needle)).select(F.col("group_id").alias("id")).distinct()
+    hit = F.lower("label").contains(needle) | F.coalesce(F.lower("language").contains(needle), F.lit(False)) | F.coalesce("by_path", F.lit(False))
+    return summary.join(paths.withColumn("by_path", F.lit(True)), "id", "left").filter(hit).drop("by_path")
 
 
-def include(details: DataFrame, pattern: str) -> DataFrame:
-    """Only occurrences whose path matches, case-insensitively; groups without any drop out.
+def include(occurrences: DataFrame, pattern: str) -> DataFrame:
+    """Only occurrences whose path matches, case-insensitively.
 
     A pattern that is no regular expression leaves everything as it was.
     """
     try:
         re.compile(pattern)
     except re.error:
-        return details
-    if not pattern:
-        return details
-    kept = F.filter("occurrences", lambda o: o["path"].rlike(f"(?i){pattern}"))
-    return details.withColumn("occurrences", kept).filter(F.size("occurrences") > 0)
+        return occurrences
+    return occurrences.filter(F.col("path").rlike(f"(?i){pattern}")) if pattern else occurrences
 
 
-def tiers(df: DataFrame, tier: str = "both", languages: tuple[str, ...] = ()) -> DataFrame:
-    """Tier a, b or both; languages (rust, ts, python) narrow tier B by the first path's extension."""
+def tiers(df: DataFrame, tier: str = "both", languages: tuple[str, ...] = (), first: Column | None = None) -> DataFrame:
+    """Tier a, b or both; languages (rust, ts, python) narrow tier B by the extension of the first path."""
     kept = df if tier == "both" else df.filter(F.col("tier") == tier.upper())
     if not languages:
         return kept
     exts = [e for lang in languages for e in {"rust": ("rs",), "ts": ("ts", "tsx"), "python": ("py",)}[lang]]
-    first = F.try_element_at("occurrences", F.lit(1))["path"]
-    return kept.filter((F.col("tier") == "A") | F.regexp_extract(first, r"\.([^./]+)$", 1).isin(*exts))
+    return kept.filter((F.col("tier") == "A") | F.regexp_extract(F.col("first.path") if first is None else first, r"\.([^./]+)$", 1).isin(*exts))
 
 
-def summary(details: DataFrame) -> DataFrame:
-    """One row: groups, functions (B), blocks (A), files, removable lines."""
-    first = F.try_element_at("occurrences", F.lit(1))
-    span = F.greatest(first["end_line"] - first["start_line"] + 1, F.lit(0))
-    one = details.agg(
+def summary(groups: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """One row from a group summary and its occurrences: groups, functions (B), blocks (A), files, removable lines."""
+    span = F.greatest(F.col("first.end_line") - F.col("first.start_line") + 1, F.lit(0))
+    one = groups.agg(
         F.count("*").alias("groups"),
         F.count_if(F.col("tier") == "B").alias("functions"),
         F.count_if(F.col("tier") != "B").alias("blocks"),
-        F.coalesce(F.sum(F.when(F.size("occurrences") >= 2, span * (F.size("occurrences") - 1))), F.lit(0)).cast("bigint").alias("duplicated_lines"),
+        F.coalesce(F.sum(F.when(F.col("n") >= 2, span * (F.col("n") - 1))), F.lit(0)).cast("bigint").alias("duplicated_lines"),
     )
-    files = details.select(F.explode("occurrences").alias("o")).select("o.path").distinct().agg(F.count("*").alias("files"))
+    ids = groups.select(F.col("id").alias("group_id"))
+    files = occurrences.join(ids, "group_id", "left_semi").agg(F.count_distinct("path").alias("files"))
     both = one.join(files)  # one row each
     text = F.concat_ws(" · ", *[F.concat(F.col(c).cast("string"), F.lit(" " + c.replace("_", " "))) for c in ("groups", "functions", "blocks", "files", "duplicated_lines")])
     return both.select("groups", "functions", "blocks", "files", "duplicated_lines", text.alias("text"))

@@ -11,16 +11,17 @@ def occurrence_lines(occurrences: DataFrame, corpus: DataFrame, context: int = 0
 
     Lines are the pieces between line feeds, 1-based; ``rel`` is the line
     within the occurrence, from 0 (negative and beyond for context). Bounds
-    are clamped to the file; a file without a text has no row. Only the
-    slice of each occurrence is exploded, not the file.
+    are clamped to the file; a file without a text has no row. Occurrences
+    meet the file's lines one by one, by path and line, so a path that many
+    rows name is spread over the tasks.
     """
-    texts = corpus.filter("path IS NOT NULL AND text IS NOT NULL").select("path", F.split("text", "\n", -1).alias("lines"))
-    first = F.greatest(F.col("start_line") - context, F.lit(1))
-    last = F.least(F.col("end_line") + context, F.size("lines"))
-    joined = occurrences.join(texts, "path").withColumn("first", first).filter(last >= first)
-    cut = joined.select("group_id", "path", "start_line", "end_line", "first", F.posexplode(F.slice("lines", F.col("first"), last - F.col("first") + 1)).alias("i", "text"))
-    line = F.col("first") + F.col("i")
-    return cut.select("group_id", "path", "start_line", "end_line", line.alias("line"), (line - F.col("start_line")).alias("rel"), "text")
+    texts = corpus.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
+    sizes = texts.select("path", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("size"))
+    lines = texts.select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
+    first, last = F.greatest(F.col("start_line") - context, F.lit(1)), F.least(F.col("end_line") + context, F.col("size"))
+    kept = occurrences.select("group_id", "path", "start_line", "end_line").join(sizes, "path").filter(last >= first)
+    wanted = kept.select("group_id", "path", "start_line", "end_line", F.explode(F.sequence(first, last)).alias("line"))
+    return wanted.join(lines, ["path", "line"]).select("group_id", "path", "start_line", "end_line", "line", (F.col("line") - F.col("start_line")).alias("rel"), "text")
 
 
 def line_differences(lines: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.session import spread
+from twinspan.session import cut, spread
 
 WINDOW = 50
 _U = np.uint64
@@ -156,7 +156,59 @@ def windows(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
     return spread(corpus.select("path", "text")).mapInArrow(run, _WINDOWS)
 
 
-def duplicated(all_windows: DataFrame) -> DataFrame:
-    """Windows whose hash occurs more than once: partial counts, then a semi join."""
-    repeated = all_windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return all_windows.join(repeated, "h", "left_semi")
+_FILES = "path string, hs array<bigint>, start_line array<int>, end_line array<int>, start_byte array<int>, end_byte array<int>"
+#: Repeated hashes are broadcast up to so many, 8 bytes each.
+BROADCAST_HASHES = 1_000_000
+
+
+def file_windows(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
+    """One row per (path, text): the hashes of its windows and where each begins and ends, as arrays. No shuffle.
+
+    All that follows works on these rows, so that each text is lexed once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                tokens, starts, ends, lines = lex((text.as_py() or "").encode())
+                h = window_hashes(tokens, n)
+                c = len(h)
+                rows.append((h.view(np.int64), *(x.astype(np.int32) for x in (lines[:c], lines[n - 1 :][:c], starts[:c], ends[n - 1 :][:c]))))
+            types = [pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4]
+            arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[f.split()[0] for f in _FILES.split(", ")])
+
+    return spread(corpus.select("path", "text")).mapInArrow(run, _FILES)
+
+
+def file_id(path: str = "path") -> Column:
+    """What stands for a path while its windows are shuffled."""
+    return F.xxhash64(path).alias("fid")
+
+
+def repeated_hashes(files: DataFrame) -> DataFrame:
+    """``h`` of every window that occurs more than once: nothing but hashes is shuffled, after partial counts."""
+    return files.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+
+
+def repeated_cells(files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``fid, win, h, start_line, end_line, start_byte, end_byte`` of the windows with one of the hashes.
+
+    A few hashes go to the files; only more than ``BROADCAST_HASHES`` need a shuffle of the windows.
+    """
+    parts = ["hs", "start_line", "end_line", "start_byte", "end_byte"]
+    cells = files.select(file_id(), F.posexplode(F.arrays_zip(*parts)).alias("win", "c")).select("fid", "win", F.col("c.hs").alias("h"), *[f"c.{x}" for x in parts[1:]])
+    few = hashes.count() <= BROADCAST_HASHES
+    return cells.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
+
+
+def repeats_by_file(files: DataFrame) -> DataFrame:
+    """``path, windows, repeated``: how many windows of each file there are, and how many occur elsewhere or again."""
+    files = cut(files)
+    hashes = cut(repeated_hashes(files))
+    few = hashes.count() <= BROADCAST_HASHES
+    cells = files.select(file_id(), F.explode("hs").alias("h"))
+    found = cells.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").groupBy("fid").agg(F.count("*").alias("repeated"))
+    sizes = files.select("path", file_id(), F.size("hs").cast("bigint").alias("windows")).filter("windows > 0").groupBy("path", "fid").agg(F.sum("windows").alias("windows"))
+    return sizes.join(found, "fid", "left").select("path", "windows", F.coalesce("repeated", F.lit(0)).alias("repeated"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from twinspan.functions.labels import hex16
 from twinspan.operators.components import connected_components
-from twinspan.operators.lexing import WINDOW, duplicated, windows
+from twinspan.operators.lexing import WINDOW, file_id, file_windows, repeated_cells, repeated_hashes
 from twinspan.session import cut
 
 MIN_LINES, MIN_TOKENS = 6, 50
@@ -57,19 +57,23 @@ def greedy(runs: list[list[int]]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def repeated_runs(repeated: DataFrame) -> DataFrame:
+def repeated_runs(cells: DataFrame) -> DataFrame:
     """One row per maximal run of consecutive repeated windows of a file."""
-    place = Window.partitionBy("path").orderBy("win")
-    island = repeated.withColumn("run", F.col("win") - F.row_number().over(place))
+    place = Window.partitionBy("fid").orderBy("win")
+    island = cells.withColumn("run", F.col("win") - F.row_number().over(place))
     cell = F.struct("win", "h", "start_line", "end_line", "start_byte", "end_byte")
-    return island.groupBy("path", "run").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return island.groupBy("fid", "run").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
 
 
-def match_runs(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
-    """``h, length, path, start_line, end_line, start_byte, end_byte`` of every span."""
-    runs = cut(repeated_runs(duplicated(windows(corpus, n))).withColumn("key", F.md5(F.concat_ws(",", F.transform("cells", lambda c: c["h"].cast("string"))))))
+def match_runs(files: DataFrame) -> DataFrame:
+    """``h, length, path, start_line, end_line, start_byte, end_byte`` of every span, from the rows of :func:`file_windows`."""
+    files = cut(files)
+    cells = repeated_cells(files, cut(repeated_hashes(files)))
+    names = files.select(file_id(), "path").distinct()
+    hashes = F.transform("cells", lambda c: c["h"])
+    runs = cut(repeated_runs(cells).withColumn("key", F.md5(F.concat_ws(",", F.transform("cells", lambda c: c["h"].cast("string"))))).join(names, "fid"))
     order = F.struct(F.split("path", "/").alias("p"), F.col("cells")[0]["win"].alias("w"))
-    first = runs.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.transform("cells", lambda c: c["h"]).alias("hs"))).alias("m")).select("key", "m.o", "m.hs")
+    first = runs.groupBy("key").agg(F.min(F.struct(order.alias("o"), hashes.alias("hs"))).alias("m")).select("key", "m.o", "m.hs")
     first = cut(first.withColumn("cls", F.xxhash64("key")))
     pairs = first.select("cls", F.explode("hs").alias("h")).distinct()
     root = pairs.groupBy("h").agg(F.min("cls").alias("root"))
@@ -78,7 +82,7 @@ def match_runs(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
 
     def extend(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(pdf.itertuples(index=False), key=lambda x: (list(x.o["p"]), x.o["w"]))
-        found = greedy([list(map(int, x.hs)) for x in rows])
+        found = greedy([x.hs.tolist() for x in rows])
         return pd.DataFrame([(rows[r].key, a, b, h) for r, a, b, h in found], columns=["key", "a", "b", "h"])
 
     spans = grouped.groupBy("part").applyInPandas(extend, "key string, a int, b int, h bigint")
@@ -100,7 +104,12 @@ def tier_a(corpus: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_
     A group is all spans of a hash and length that reach the thresholds, if
     there are two.
     """
-    spans = cut(match_runs(corpus, n).filter((F.col("end_line") - F.col("start_line") + 1 >= min_lines) & (F.col("length") + n - 1 >= min_tokens)).distinct())
+    return tier_a_of(file_windows(corpus, n), min_lines, min_tokens, n)
+
+
+def tier_a_of(files: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, n: int = WINDOW) -> DataFrame:
+    """As :func:`tier_a`, from window rows, made now or stored by an earlier scan."""
+    spans = cut(match_runs(files).filter((F.col("end_line") - F.col("start_line") + 1 >= min_lines) & (F.col("length") + n - 1 >= min_tokens)).distinct())
     kept = spans.groupBy("h", "length").agg(F.count("*").alias("n")).filter("n > 1").select("h", "length")
     return spans.join(kept, ["h", "length"], "left_semi").select(F.col("h").alias("group_hash"), hex16(F.col("h")).alias("hash"), F.lit("A").alias("tier"), "length", "path", "start_line", "end_line", "start_byte", "end_byte")
 

@@ -53,10 +53,32 @@ def group_totals(occurrences: DataFrame) -> DataFrame:
     )
 
 
+def group_summary(groups: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Every group with ``n, lines, files, severity, first`` of its occurrences, label and language.
+
+    Partial aggregates only; ``first`` is the least occurrence by path, lines
+    and bytes. No view but the renderings needs more of a group.
+    """
+    lines = F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))
+    per = occurrences.groupBy("group_id").agg(
+        F.count("*").alias("n"), F.sum(lines).alias("lines"), F.count_distinct("path").alias("files"), F.min(F.struct("path", "start_line", "end_line", "start_byte", "end_byte")).alias("first")
+    )
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n", "lines", "files")]
+    rest = [c for c in groups.columns if c not in ("n", "lines", "files", "first")]
+    return (
+        groups.join(per, groups["id"] == per["group_id"], "left")
+        .select(*[groups[c] for c in rest], *zero, "first")
+        .withColumn("severity", F.col("n") * F.col("lines"))
+        .withColumn("language", language_of(F.col("first.path")))
+        .withColumn("label", F.coalesce(occurrence_label(F.col("first.path"), F.col("first.start_line"), F.col("first.end_line")), F.lit("(empty group)")))
+    )
+
+
 def group_details(groups: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Every group with its occurrences as one sorted array, label and language.
+    """Every group with its occurrences as one sorted array, label and language, for renderings.
 
-    The array holds one group's occurrences, as the stored detail does.
+    A rendering is one document that names every occurrence of its group, so
+    a row is as long as what it says; views use :func:`group_summary`.
     """
     nested = occurrences.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("path", "start_line", "end_line", "start_byte", "end_byte"))).alias("occurrences"))
     first = F.try_element_at("occurrences", F.lit(1))

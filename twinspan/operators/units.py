@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.session import spread
+from twinspan.session import cut, spread
 
 MIN_LINES, MIN_TOKENS = 3, 15
 #: Fixed values of the unit hash and of what stands for a literal in aggressive mode.
@@ -393,7 +393,7 @@ def extract_units(corpus: DataFrame, normalization: str = "conservative") -> Dat
 
 def tier_b(corpus: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, normalization: str = "conservative") -> tuple[DataFrame, DataFrame]:
     """Occurrences of tier B groups (equal token streams, at least two), and issues."""
-    units = extract_units(corpus, normalization)
+    units = cut(extract_units(corpus, normalization))  # files are parsed once for counts, rows and issues
     issues = units.filter("issue IS NOT NULL").select("path", F.col("issue").alias("kind"), "message")
     big = units.filter((F.col("end_line") - F.col("start_line") + 1 >= min_lines) & (F.col("tokens") >= min_tokens))
     kept = big.groupBy("group_hash", "part").agg(F.count("*").alias("n")).filter("n > 1").select("group_hash", "part")

@@ -47,9 +47,7 @@ WINDOWS_SQL = f"WITH {CORPUS}, t AS (SELECT path, {TOKENS} AS l FROM c), w AS (S
 
 @query(WINDOWS_SQL + " SELECT path, count(*) AS windows, count(*) FILTER (n > 1) AS repeated FROM w JOIN r USING (h) GROUP BY path")
 def repeated_windows(spark, d):
-    cells = lexing.windows(_corpus(spark, d)).groupBy("h", "path").agg(F.count("*").alias("c"))  # one exchange for both uses
-    again = cells.groupBy("h").agg(F.sum("c").alias("n"))
-    return cells.join(again, "h").groupBy("path").agg(F.sum("c").alias("windows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("c"))), F.lit(0)).alias("repeated"))
+    return lexing.repeats_by_file(lexing.file_windows(_corpus(spark, d)))
 
 
 @query(

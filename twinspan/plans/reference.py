@@ -65,6 +65,10 @@ def _details(spark: SparkSession, d: str) -> DataFrame:
     return store.group_details(_groups(spark, d), _occurrences(spark, d))
 
 
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    return store.group_summary(_groups(spark, d), _occurrences(spark, d))
+
+
 def _suppressions(spark: SparkSession, d: str) -> DataFrame:
     return suppress.suppressions_view(table(spark, d, "suppressions"))
 
@@ -130,7 +134,7 @@ def sarif_results(spark, d):
 
 @query(
     DETAIL
-    + """SELECT d.id, CASE WHEN n = 0 THEN '' ELSE 'The following ' || n || ' ' || coalesce(language || ' ', '') || 'code locations were flagged as duplicates. Read each location, then propose a refactor that eliminates the duplication — e.g. extract a shared helper / method / constant — and explain trade-offs.' || chr(10) || chr(10) || b.body END AS prompt
+    + f"""SELECT d.id, CASE WHEN n = 0 THEN '' ELSE '{report.PROMPT_HEAD}' || n || ' ' || coalesce(language || ' ', '') || '{report.PROMPT_TAIL}' || chr(10) || chr(10) || b.body END AS prompt
 FROM d LEFT JOIN (SELECT group_id, string_agg('- ' || path || ':' || start_line || '-' || end_line || chr(10), '' ORDER BY path, start_line, end_line) AS body FROM o GROUP BY group_id) b ON b.group_id = d.id"""
 )
 def refactor_prompts(spark, d):
@@ -250,7 +254,7 @@ def sparkline_20(spark, d):
 @query(DIFF + " SELECT df.folder_hash, df.group_hash, base_count, coalesce(d.label, CASE WHEN su.group_hash IS NOT NULL THEN 'Dismissed block (hash ' || substr(" + HEX.format("df.group_hash") + ", 1, 12) || '…)' ELSE '' END) AS label FROM df LEFT JOIN (SELECT group_hash, min(label) AS label FROM (" + "SELECT g.group_hash, coalesce(f.path || ':L' || f.start_line || '–' || f.end_line, '(empty group)') AS label FROM g LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY path, start_line, end_line) AS rn FROM o) WHERE rn = 1) f ON f.group_id = g.id) GROUP BY group_hash) d USING (group_hash) LEFT JOIN su ON su.group_hash = df.group_hash WHERE kind = 'GONE'")
 def gone_groups(spark, d):
     gone = history.latest_diff(_scans(spark, d), _scan_groups(spark, d)).filter("kind = 'GONE'").select("folder_hash", "group_hash", "base_count")
-    labels = _details(spark, d).groupBy("group_hash").agg(F.min("label").alias("label"))
+    labels = _summary(spark, d).groupBy("group_hash").agg(F.min("label").alias("label"))
     dismissed = _suppressions(spark, d).select("group_hash", dismissed_label(F.col("group_hash")).alias("dismissed"))
     return gone.join(labels, "group_hash", "left").join(dismissed, "group_hash", "left").select("folder_hash", "group_hash", "base_count", F.coalesce("label", "dismissed", F.lit("")).alias("label"))
 
@@ -262,12 +266,12 @@ TIES = HEX.format("group_hash") + ", id"
 
 @query(DETAIL + "SELECT id, n, lines, files, severity, label, language FROM d")
 def group_measures(spark, d):
-    return analytics.measured(_details(spark, d)).select("id", "n", "lines", "files", "severity", "label", "language")
+    return _summary(spark, d).select("id", "n", "lines", "files", "severity", "label", "language")
 
 
 def _sorted(key: str, order: str) -> None:
     def run(spark, d):
-        return analytics.sorted_groups(analytics.measured(_details(spark, d)), key).select("id", "ordinal")
+        return analytics.sorted_groups(_summary(spark, d), key)
 
     QUERIES[f"sort_{key}"] = run
     SQL[f"sort_{key}"] = DETAIL + f"SELECT id, row_number() OVER (ORDER BY {order}, {TIES}) AS ordinal FROM d"
@@ -282,18 +286,18 @@ _sorted("alphabetical", "lower(label)")
 
 @query(DETAIL + "SELECT id, label, language FROM d WHERE contains(lower(label), 'harbor') OR contains(lower(language), 'harbor') OR id IN (SELECT group_id FROM o WHERE contains(lower(path), 'harbor'))")
 def search_groups(spark, d):
-    return analytics.search(_details(spark, d), " HARBOR ").select("id", "label", "language")
+    return analytics.search(_summary(spark, d), _occurrences(spark, d), " HARBOR ").select("id", "label", "language")
 
 
 @query(CTE + "SELECT g.id, count(*) AS n, min(path) AS first_path FROM g JOIN o ON o.group_id = g.id WHERE regexp_matches(path, '/SRC/.*[.](ts|py)$', 'i') GROUP BY g.id")
 def include_filter(spark, d):
-    kept = analytics.include(_details(spark, d), r"/SRC/.*\.(ts|py)$")
-    return kept.select("id", F.size("occurrences").cast("bigint").alias("n"), F.col("occurrences")[0]["path"].alias("first_path"))
+    kept = analytics.include(_occurrences(spark, d), r"/SRC/.*\.(ts|py)$")
+    return store.group_summary(_groups(spark, d), kept).filter("n > 0").select("id", "n", F.col("first.path").alias("first_path"))
 
 
 @query(DETAIL + "SELECT id, tier FROM d WHERE tier = 'A' OR regexp_extract(first_path, '[.]([^./]+)$', 1) IN ('rs', 'py')")
 def tier_language_filter(spark, d):
-    return analytics.tiers(_details(spark, d), "both", ("rust", "python")).select("id", "tier")
+    return analytics.tiers(_summary(spark, d), "both", ("rust", "python")).select("id", "tier")
 
 
 @query(
@@ -301,7 +305,7 @@ def tier_language_filter(spark, d):
     + ", a AS (SELECT count(*) AS groups, count(*) FILTER (tier = 'B') AS functions, count(*) FILTER (tier <> 'B') AS blocks, (SELECT count(DISTINCT o.path) FROM o JOIN g ON g.id = o.group_id) AS files, CAST(coalesce(sum(CASE WHEN n >= 2 THEN (first_end - first_start + 1) * (n - 1) END), 0) AS BIGINT) AS duplicated_lines FROM d) SELECT *, groups || ' groups · ' || functions || ' functions · ' || blocks || ' blocks · ' || files || ' files · ' || duplicated_lines || ' duplicated lines' AS text FROM a"
 )
 def summary_counts(spark, d):
-    return analytics.summary(_details(spark, d))
+    return analytics.summary(_summary(spark, d), _occurrences(spark, d))
 
 
 @query(CTE + f"SELECT coalesce({LANG.format('path')}, '') AS language, count(*) AS occurrences, count(DISTINCT path) AS files, count(DISTINCT group_id) AS groups FROM o GROUP BY 1")
