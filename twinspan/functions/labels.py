@@ -65,3 +65,28 @@ def badge(base: Column, head: Column) -> Column:
 def tint(idx: Column, colours: int = 10) -> Column:
     """Palette slot of a 1-based placeholder."""
     return F.pmod(idx - 1, F.lit(colours))
+
+
+def blob_hash(blob: Column) -> Column:
+    """The signed 64-bit pattern of eight big-endian bytes; null for any other length."""
+    return F.when(F.octet_length(blob) == 8, unhex16(F.hex(blob)))
+
+
+def tier_label(tier: Column) -> Column:
+    """A or B; what is neither counts as A."""
+    return F.when(F.upper(tier) == "B", "B").otherwise("A")
+
+
+def elapsed(seconds: Column) -> Column:
+    """One decimal under a minute, whole seconds from there."""
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).otherwise(F.concat(F.floor(seconds).cast("string"), F.lit("s")))
+
+
+def completion_banner(groups: Column, files: Column, seconds: Column) -> Column:
+    return F.concat(F.lit("Scan complete — "), groups.cast("string"), F.lit(" groups across "), files.cast("string"), F.lit(" files in "), elapsed(seconds), F.lit("."))
+
+
+def group_label(tier: Column, name: Column, kind: Column, place: Column) -> Column:
+    """A unit's kind and name for tier B where it has one, else the place."""
+    named = F.when(kind.isNull(), name).otherwise(F.concat(kind, F.lit(" "), name))
+    return F.when((tier == "B") & name.isNotNull(), named).otherwise(F.coalesce(place, F.lit("(empty group)")))

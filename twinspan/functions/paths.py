@@ -25,12 +25,3 @@ def canonical_path(path: Column, root: str = SCAN_ROOT) -> Column:
 def posix_path(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
-
-def extension(path: Column) -> Column:
-    """The text after the last dot of the last component; null without one."""
-    return F.nullif(F.regexp_extract(path, r"[^/]\.([^./\\]+)$", 1), F.lit(""))
-
-
-def repo_of(path: Column) -> Column:
-    """First component of a canonical path."""
-    return F.substring_index(path, "/", 1)
