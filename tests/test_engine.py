@@ -122,6 +122,81 @@ def test_files_lost_after_listing_are_issues(spark, tmp_path):
     assert [(r["path"], r["content"], bool(r["error"])) for r in with_content(listed, str(tmp_path)).collect()] == [("_a.py", None, True)]
 
 
+def test_a_warm_scan_reads_changed_files_only(spark, tree):
+    engine, told, pulses = Engine(spark, str(tree)), [], []
+    (tree / "deep" / "x").mkdir(parents=True)
+    (tree / "deep" / "x" / "h.py").write_text("import six\n\n" + FUNCTION)
+    engine.scan(now=1000, progress=lambda *x: told.append(x), pulse=lambda df: pulses.append(df.count()))
+    view = lambda: (sorted(r["text"].split("\n", 1)[1] for r in engine.list("text").collect()), engine.issues())
+    first, listed = view(), dict(told)["listed"]
+    assert len(pulses) == 1 and pulses[0] > 0 and dict(told)["read"] == listed
+    told.clear()
+    engine.scan(now=1100, progress=lambda *x: told.append(x))
+    assert dict(told)["read"] == 0 and view() == first  # bad.py is unread too, its issue is kept
+    told.clear()
+    (tree / "a.py").write_text("import one, more\n\n" + FUNCTION)
+    os.remove(tree / "lib" / "b.py")
+    engine.scan(now=1200, progress=lambda *x: told.append(x))
+    assert dict(told)["read"] == 1 and dict(told)["listed"] == listed - 1
+    warm = view()
+    engine.clean(True)
+    engine.scan(now=1300)
+    assert view() == warm
+
+
+def test_rules_from_outside_and_links(tmp_path, monkeypatch):
+    from twinspan.sources.tree import walk
+
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", os.devnull)
+    for name, text in {"home/git/ignore": "*.tmp\n", ".gitignore": "top.py\n/r/only.py\n", "r/.gitignore": "!keep.tmp\n", "r/a.tmp": "", "r/keep.tmp": "", "r/top.py": "", "r/only.py": "", "r/s/only.py": "", "r/m/.git/HEAD": "", "r/m/x.py": ""}.items():
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    os.symlink(tmp_path / "r" / "s", tmp_path / "r" / "link")
+    os.symlink(tmp_path / "r" / "s" / "only.py", tmp_path / "r" / "one.py")
+    names = lambda **more: {os.fsdecode(r[0]) for r in walk(str(tmp_path / "r"), True, **more)}
+    assert names() == {".gitignore", "keep.tmp", "s/only.py", "m/x.py"}
+    assert names(follow=True, submodules=False) == {".gitignore", "keep.tmp", "s/only.py", "link/only.py", "one.py"}
+
+
+def test_old_stores_are_migrated_and_writers_wait(spark, tmp_path):
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "_state.json").write_text(json.dumps({"version": 1, "tables": {"suppressions": []}}))
+    wh = Warehouse(spark, str(root))
+    state = wh.state()
+    assert state["schema_version"] == 5 and set(state["tables"]) >= {"suppressions", "file_state", "occurrence_suppressions", "scan_groups"}
+    assert Warehouse.open_readonly(spark, str(root)).read("file_units").count() == 0
+    with wh.lock():
+        with wh.lock():
+            assert (root / "_lock").exists()
+        with pytest.raises(TimeoutError):
+            with Warehouse(spark, str(root)).folder.lock(wait=0.1):
+                pass
+    assert not (root / "_lock").exists()
+    (root / "_lock").write_text("1.0")
+    with wh.lock():  # of a writer long dead
+        pass
+
+
+def test_blame(tmp_path):
+    from twinspan.sources.git import Blame, blame, commit_of, main_commit, parse_blame
+
+    raw = "0123456789abcdef0123456789abcdef01234567 3 3 1\nauthor A B\nauthor-time 86400\nsummary first words\nfilename x\n\tauthor nobody\n"
+    assert parse_blame(raw) == Blame("A B", "01234567", "1970-01-02", "first words")
+    assert parse_blame("") is None and parse_blame("zz 1 1") is None and parse_blame("0123456789 1 1\n\tx") == Blame("?", "01234567", "?", "")
+    assert blame(str(tmp_path), "none.py", 1) is None and main_commit(str(tmp_path)) is None and commit_of(str(tmp_path / "no")) is None
+
+
+def test_config_edit(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "g"))
+    for name in ("VISUAL", "EDITOR"):
+        monkeypatch.delenv(name, raising=False)
+    assert config.edit(str(tmp_path)) == 2
+    monkeypatch.setenv("EDITOR", "true --")
+    assert config.edit(str(tmp_path)) == 0 and "schema_version" in (tmp_path / config.PROJECT_FILE).read_text()
+
+
 def test_store_swaps_and_refuses_newer(spark, tmp_path):
     root = str(tmp_path / "w")
     wh = Warehouse(spark, root)

@@ -6,9 +6,13 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from twinspan.config import ConfigError
+from twinspan.config import ConfigError, edit
 from twinspan.engine import Engine, resolve_format
+from twinspan.functions.labels import dismissed_label, hex16, unix_date
+from twinspan.operators import history
+from twinspan.sources.files import Folder
 from twinspan.sources.warehouse import NewerStore
 
 
@@ -27,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("path", nargs="?", default=".")
         if name == "clean":
             c.add_argument("-y", "--yes", action="store_true")
+        if name == "config":
+            c.add_argument("--edit", choices=("global", "project"), help="open the file in $VISUAL or $EDITOR")
         if name == "suppressions":
             c.add_argument("--clear", action="store_true")
     for name in ("show", "dismiss"):
@@ -52,6 +58,23 @@ def print_groups(engine: Engine, args: argparse.Namespace) -> int:
     return int(args.strict and found > 0)
 
 
+def clean(engine: Engine, yes: bool) -> int:
+    """Drop the store: at once with --yes, after a question on a terminal, never without either."""
+    if not Folder(engine.spark, engine.warehouse).exists():
+        print(f"twinspan: no store at {engine.warehouse}")
+        return 0
+    if not yes:
+        if not sys.stdin.isatty():
+            print(f"twinspan: {engine.warehouse} is left alone; say --yes where nobody can be asked", file=sys.stderr)
+            return 2
+        if input(f"Drop {engine.warehouse}, history and dismissals included? [y/N] ").strip().lower() not in ("y", "yes"):
+            print("left alone")
+            return 0
+    engine.clean(True)
+    print(f"dropped {engine.warehouse}")
+    return 0
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     engine = Engine(spark, args.path)
     if args.command == "scan":
@@ -70,14 +93,18 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         if args.clear:
             print(engine.clear_suppressions(), "cleared")
         else:
-            for r in engine.suppressions().toLocalIterator():
-                print(f"{r['group_hash'] & (1 << 64) - 1:016x}  {r['dismissed_at']}")
+            print(f"{'HASH':<16}  {'DATE':<12}  LABEL")
+            for r in engine.suppressions().select(hex16(F.col("group_hash")).alias("hash"), unix_date(F.col("dismissed_at")).alias("day"), dismissed_label(F.col("group_hash")).alias("label")).toLocalIterator():
+                print(f"{r['hash']}  {r['day']:<12}  {r['label']}")
     elif args.command == "diff":
-        for r in engine.diff(args.since).toLocalIterator():
-            print(f"{r['kind']:<6}  {r['hash']}  {r['base_count']}→{r['head_count']}")
+        print("KIND    HASH              COUNTS  DELTA")
+        for r in history.diff_text(engine.diff(args.since)).toLocalIterator():
+            print(r["line"])
     elif args.command == "clean":
-        return 0 if engine.clean(args.yes) else 2
+        return clean(engine, args.yes)
     elif args.command == "config":
+        if args.edit:
+            return edit(engine.root, args.edit == "global")
         print(engine.config_paths())
     return 0
 

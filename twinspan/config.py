@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shlex
+import subprocess
 import tomllib
 from dataclasses import dataclass, fields, replace
 
@@ -90,3 +92,18 @@ def load(root: str) -> Config:
             with open(path, encoding="utf-8") as f:
                 config = overlay(config, f.read())
     return config
+
+
+def edit(root: str, everywhere: bool = False) -> int:
+    """Open the project's or the user's file in $VISUAL or $EDITOR, making it first; the editor's exit code, 2 without one."""
+    editor = shlex.split(os.environ.get("VISUAL") or os.environ.get("EDITOR") or "")
+    if not editor:
+        return 2
+    path = global_path() if everywhere else project_path(root)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    if not os.path.exists(path):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(f"schema_version = {SCHEMA_VERSION}\n")
+    code = subprocess.run([*editor, path]).returncode
+    load(root)  # what does not hold is told at once
+    return code

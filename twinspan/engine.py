@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-import subprocess
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from twinspan import config as settings
 from twinspan.functions.labels import hex16, unhex16
 from twinspan.operators import analytics, history, matching, report, store, suppress
-from twinspan.operators.lexing import WINDOW, windows
+from twinspan.operators.lexing import WINDOW, file_windows
 from twinspan.operators.ranking import with_ordinal
-from twinspan.operators.units import tier_b
+from twinspan.operators.units import extract_units, tier_b_of
 from twinspan.session import cut
-from twinspan.sources.tree import read_corpus
+from twinspan.sources.tree import candidates, classified, status_issues
+from twinspan.sources.files import Folder
+from twinspan.sources.git import commit_of
 from twinspan.sources.warehouse import Warehouse
 
 _MASK = (1 << 64) - 1
@@ -31,14 +34,6 @@ def fnv1a(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def git_commit(folder: str) -> str | None:
-    try:
-        said = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10)
-    except (OSError, subprocess.TimeoutExpired):
-        return None
-    return said.stdout.strip() or None if said.returncode == 0 else None
-
-
 def resolve_format(requested: str | None, terminal: bool) -> str:
     return requested or ("text" if terminal else "json")
 
@@ -48,6 +43,7 @@ class Engine:
         self.spark, self.root = spark, os.path.abspath(root)
         self.config = config or settings.load(self.root)
         self.warehouse = warehouse or os.path.join(self.root, ".twinspan")
+        self.job_group = f"twinspan-{uuid.uuid4().hex}"
 
     def _open(self) -> Warehouse:
         found = Warehouse.open_readonly(self.spark, self.warehouse)
@@ -57,47 +53,86 @@ class Engine:
 
     # -- scan
 
-    def find(self, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Occurrences of all groups of a corpus (path, text), and issues."""
+    def find(self, windows: DataFrame, units: DataFrame, pulse: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Occurrences of all groups from the windows and units of files, and issues.
+
+        ``pulse`` is called once with the tier A occurrences, in no order,
+        when they are final and before tier B is looked at.
+        """
         c = self.config
-        a = matching.tier_a(corpus, c.tier_a_min_lines, c.tier_a_min_tokens)
-        b, issues = tier_b(corpus, c.tier_b_min_lines, c.tier_b_min_tokens, c.normalization)
+        a = matching.tier_a_of(windows, c.tier_a_min_lines, c.tier_a_min_tokens)
+        if pulse:
+            a = cut(a)
+            pulse(a)
+        b, issues = tier_b_of(units, c.tier_b_min_lines, c.tier_b_min_tokens)
         b = cut(b)
         columns = ["group_hash", "tier", "part", "path", "start_line", "end_line", "start_byte", "end_byte", "alpha"]
         a = matching.promote(a, b).withColumn("part", F.col("length").cast("string")).withColumn("alpha", F.array().cast("array<struct<s:int,e:int,idx:int>>"))
         return a.select(*columns).unionByName(b.select(*columns)), issues
 
-    def scan(self, gitignore: bool = True, everything: bool = False, now: int | None = None) -> int:
-        """Scan the tree, replace the current groups, append to the history; the new scan's id."""
+    def scan(
+        self,
+        gitignore: bool = True,
+        everything: bool = False,
+        now: int | None = None,
+        pulse: Callable[[DataFrame], None] | None = None,
+        progress: Callable[[str, int], None] | None = None,
+    ) -> int:
+        """Scan the tree, replace the current groups, append to the history; the new scan's id.
+
+        Files whose path, size and time are those of the last scan are not
+        read again: their windows, units and issues are taken from the store.
+        ``progress`` hears of the files listed and read and of the groups
+        found. All jobs run in the group that :meth:`cancel` ends; a cancelled
+        scan leaves the store as it was.
+        """
+        told = progress or (lambda stage, count: None)
+        self.spark.sparkContext.setJobGroup(self.job_group, f"scan of {self.root}", True)
+        c = self.config
         own = (".twinspan", os.path.relpath(self.warehouse, self.root).replace(os.sep, "/"))
-        corpus, issues = read_corpus(self.spark, self.root, gitignore, everything, self.config.include_submodules, self.config.max_file_size, skip=own)
-        corpus = cut(corpus)
-        found, more = self.find(corpus)
         wh = Warehouse(self.spark, self.warehouse)
-        found = cut(found)
-        keys = ["group_hash", "tier", "part"]
-        first = F.min(F.struct(F.split("path", "/").alias("p"), "start_line")).alias("first")
-        totals = found.groupBy(*keys).agg(
-            first, F.count("*").alias("occurrence_count"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("total_lines"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("total_tokens")
-        )
-        groups = cut(with_ordinal(totals, [F.col("tier"), F.col("first"), hex16(F.col("group_hash")), F.col("part")], "id"))
-        occ = with_ordinal(found.join(groups.select("id", *keys), keys).withColumnRenamed("id", "group_id"), [F.col("group_id"), F.split("path", "/"), F.col("start_line"), F.col("start_byte")], "id")
-        scans = wh.read("scans")
-        scan_id = (scans.agg(F.max("scan_id")).first()[0] or 0) + 1
-        started = int(time.time()) if now is None else now
-        row = self.spark.createDataFrame([(scan_id, started, fnv1a(self.root.encode()), git_commit(self.root))], "scan_id bigint, started_at bigint, folder_hash bigint, git_commit string")
-        snapshot = groups.groupBy("group_hash").agg(F.sum("occurrence_count").alias("occurrence_count"), F.sum("total_lines").alias("total_lines")).withColumn("scan_id", F.lit(scan_id))
-        prints = corpus.select("path", "text", F.xxhash64("text").alias("content_hash"), F.col("length").alias("size"), "mtime")
-        stored = wh.read("file_blocks").select("path", "content_hash", "size", "mtime", F.col("block_hashes").alias("stored"))
-        both = cut(prints.join(stored, ["path", "content_hash", "size", "mtime"], "left"))
-        blocks = windows(both.filter("stored IS NULL")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("win", "h"))), lambda x: x["h"]).alias("block_hashes"))
-        prints = both.join(blocks, "path", "left").select("path", "content_hash", "size", "mtime", F.coalesce("stored", "block_hashes", F.array().cast("array<bigint>")).alias("block_hashes"))
-        wh.commit(
-            {"match_groups": groups.withColumn("hash_hex", hex16(F.col("group_hash"))), "occurrences": occ, "issues": issues.unionByName(more), "file_blocks": prints},
-            {"scans": row, "scan_groups": snapshot},
-        )
+        with wh.lock():
+            listed = cut(candidates(self.spark, self.root, gitignore, everything, c.include_submodules, c.max_file_size, skip=own, follow=c.follow_symlinks))
+            told("listed", listed.count())
+            profile = f"{WINDOW} {c.normalization} {everything}"
+            same = ["path", "length", "mtime"]
+            state = wh.read("file_state").filter((F.col("profile") == profile) & (F.col("status") != "read_error"))
+            known = cut(state.join(listed.filter("error IS NULL").select(*same), same, "left_semi"))
+            fresh = cut(classified(listed.join(known.select(*same), same, "left_anti"), self.root, everything))
+            corpus = fresh.filter("status = 'ok'").select("path", "text")
+            told("read", fresh.count())
+            old = known.filter("status = 'ok'").select("path")
+            windows = cut(file_windows(corpus).unionByName(wh.read("file_windows").join(old, "path", "left_semi")))
+            units = cut(extract_units(corpus, c.normalization).unionByName(wh.read("file_units").join(old, "path", "left_semi")))
+            found, more = self.find(windows, units, pulse)
+            found = cut(found)
+            keys = ["group_hash", "tier", "part"]
+            first = F.min(F.struct(F.split("path", "/").alias("p"), "start_line")).alias("first")
+            totals = found.groupBy(*keys).agg(
+                first, F.count("*").alias("occurrence_count"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("total_lines"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("total_tokens")
+            )
+            groups = cut(with_ordinal(totals, [F.col("tier"), F.col("first"), hex16(F.col("group_hash")), F.col("part")], "id"))
+            told("groups", groups.count())
+            occ = with_ordinal(found.join(groups.select("id", *keys), keys).withColumnRenamed("id", "group_id"), [F.col("group_id"), F.split("path", "/"), F.col("start_line"), F.col("start_byte")], "id")
+            scan_id = (wh.read("scans").agg(F.max("scan_id")).first()[0] or 0) + 1
+            started = int(time.time()) if now is None else now
+            row = self.spark.createDataFrame([(scan_id, started, fnv1a(self.root.encode()), commit_of(self.root))], "scan_id bigint, started_at bigint, folder_hash bigint, git_commit string")
+            snapshot = groups.groupBy("group_hash").agg(F.sum("occurrence_count").alias("occurrence_count"), F.sum("total_lines").alias("total_lines")).withColumn("scan_id", F.lit(scan_id))
+            states = cut(fresh.withColumn("content_hash", F.xxhash64("text")).withColumn("profile", F.lit(profile)).drop("text").unionByName(known))
+            prints = states.filter("status = 'ok'").select("path", "content_hash", F.col("length").alias("size"), "mtime").join(windows.select("path", F.col("hs").alias("block_hashes")), "path", "left")
+            wh.commit(
+                {
+                    "match_groups": groups.withColumn("hash_hex", hex16(F.col("group_hash"))), "occurrences": occ, "issues": status_issues(states).unionByName(more),
+                    "file_blocks": prints, "file_state": states, "file_windows": windows, "file_units": units,
+                },
+                {"scans": row, "scan_groups": snapshot},
+            )
         return scan_id
 
+    def cancel(self) -> None:
+        """End the running scan at the next task boundary, from another thread."""
+        self.spark.sparkContext.cancelJobGroup(self.job_group)
+
     # -- reads
 
     def details(self, tier: str = "both", languages: tuple[str, ...] = ()) -> DataFrame:
@@ -114,7 +149,9 @@ class Engine:
     def list(self, format: str = "text", tier: str = "both", languages: tuple[str, ...] = ()) -> DataFrame:
         """One row per visible group in order: ``ordinal`` and its text, json or sarif rendering."""
         first = F.col("occurrences")[0]
-        ranked = with_ordinal(self.details(tier, languages), [F.col("tier"), first["path"], first["start_line"], F.col("id")])
+        details = cut(self.details(tier, languages))
+        order = with_ordinal(details.select("id", "tier", first["path"].alias("p"), first["start_line"].alias("l")), [F.col("tier"), F.col("p"), F.col("l"), F.col("id")])
+        ranked = details.join(order.select("id", "ordinal"), "id")
         body = {"text": lambda: report.group_text(ranked, "ordinal"), "json": lambda: report.group_json(ranked), "sarif": lambda: report.sarif_result(ranked)}[format]()
         return ranked.select("id", "ordinal").join(body, "id").orderBy("ordinal")
 
@@ -156,7 +193,7 @@ class Engine:
             raise ValueError(f"{since!r} names no earlier scan")
         rows = wh.read("scan_groups")
         found = history.diff(rows.filter(F.col("scan_id") == base), rows.filter(F.col("scan_id") == head["scan_id"]), ["group_hash"])
-        return found.withColumn("hash", hex16(F.col("group_hash"))).orderBy("hash")
+        return found.withColumn("folder_hash", F.lit(head["folder_hash"])).withColumn("hash", hex16(F.col("group_hash"))).orderBy("hash")
 
     # -- dismissals
 
@@ -164,28 +201,30 @@ class Engine:
         """Dismiss a group, or its occurrences in one file."""
         wh = self._open()
         at = int(time.time()) if now is None else now
-        group = wh.read("match_groups").filter(F.col("id") == group_id)
-        if group.isEmpty():
-            raise KeyError(group_id)
-        if path is None:
-            rows = group.select("group_hash", F.lit(at).cast("bigint").alias("dismissed_at"), F.col("id").alias("last_group_id"))
-            wh.commit({"suppressions": suppress.dismiss(wh.read("suppressions"), rows, ["group_hash"])})
-        else:
-            rows = group.select("group_hash", F.lit(path).alias("file_path"), F.lit(at).cast("bigint").alias("dismissed_at"))
-            wh.commit({"occurrence_suppressions": suppress.dismiss(wh.read("occurrence_suppressions"), rows, ["group_hash", "file_path"])})
+        with wh.lock():
+            group = wh.read("match_groups").filter(F.col("id") == group_id)
+            if group.isEmpty():
+                raise KeyError(group_id)
+            if path is None:
+                rows = group.select("group_hash", F.lit(at).cast("bigint").alias("dismissed_at"), F.col("id").alias("last_group_id"))
+                wh.commit({"suppressions": suppress.dismiss(wh.read("suppressions"), rows, ["group_hash"])})
+            else:
+                rows = group.select("group_hash", F.lit(path).alias("file_path"), F.lit(at).cast("bigint").alias("dismissed_at"))
+                wh.commit({"occurrence_suppressions": suppress.dismiss(wh.read("occurrence_suppressions"), rows, ["group_hash", "file_path"])})
 
     def undismiss(self, hash_hex: str, path: str | None = None) -> int:
         """Take back dismissals of a hash, of all its files or of one; how many there were."""
         wh = self._open()
         name = "suppressions" if path is None else "occurrence_suppressions"
-        table = wh.read(name)
-        rows = table.filter(F.col("group_hash") == unhex16(F.lit(hash_hex)))
-        if path not in (None, "*"):
-            rows = rows.filter(F.col("file_path") == path)
-        keys = ["group_hash"] if path is None else ["group_hash", "file_path"]
-        count = rows.count()
-        if count:
-            wh.commit({name: suppress.undismiss(table, rows, keys)})
+        with wh.lock():
+            table = wh.read(name)
+            rows = table.filter(F.col("group_hash") == unhex16(F.lit(hash_hex)))
+            if path not in (None, "*"):
+                rows = rows.filter(F.col("file_path") == path)
+            keys = ["group_hash"] if path is None else ["group_hash", "file_path"]
+            count = rows.count()
+            if count:
+                wh.commit({name: suppress.undismiss(table, rows, keys)})
         return count
 
     def clear_suppressions(self, occurrences: bool = False) -> int:
@@ -202,8 +241,9 @@ class Engine:
         return int(not self.details().isEmpty())
 
     def clean(self, yes: bool = False) -> bool:
-        if yes and os.path.exists(self.warehouse):
-            Warehouse(self.spark, self.warehouse, False).clean()
+        folder = Folder(self.spark, self.warehouse)
+        if yes and folder.exists():
+            folder.delete()
             return True
         return False
 
@@ -211,4 +251,4 @@ class Engine:
         return json.dumps({p: os.path.exists(p) for p in (settings.global_path(), settings.project_path(self.root))})
 
 
-__all__ = ["WINDOW", "Engine", "fnv1a", "git_commit", "resolve_format"]
+__all__ = ["WINDOW", "Engine", "fnv1a", "resolve_format"]

@@ -156,7 +156,7 @@ def windows(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
     return spread(corpus.select("path", "text")).mapInArrow(run, _WINDOWS)
 
 
-_FILES = "path string, hs array<bigint>, start_line array<int>, end_line array<int>, start_byte array<int>, end_byte array<int>"
+FILES = "path string, hs array<bigint>, start_line array<int>, end_line array<int>, start_byte array<int>, end_byte array<int>"
 #: Repeated hashes are broadcast up to so many, 8 bytes each.
 BROADCAST_HASHES = 1_000_000
 
@@ -177,9 +177,9 @@ def file_windows(corpus: DataFrame, n: int = WINDOW) -> DataFrame:
                 rows.append((h.view(np.int64), *(x.astype(np.int32) for x in (lines[:c], lines[n - 1 :][:c], starts[:c], ends[n - 1 :][:c]))))
             types = [pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4]
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[f.split()[0] for f in _FILES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[f.split()[0] for f in FILES.split(", ")])
 
-    return spread(corpus.select("path", "text")).mapInArrow(run, _FILES)
+    return spread(corpus.select("path", "text")).mapInArrow(run, FILES)
 
 
 def file_id(path: str = "path") -> Column:

@@ -192,7 +192,7 @@ _RS_ESCAPE = re.compile(r"\\(?:u\{[^}]*\}|x[0-9A-Fa-f]{2}|[\s\S])")
 _RS_KEYWORDS = frozenset("as async await break const continue dyn else enum extern fn for if impl in let loop match mod move pub ref return static struct trait type unsafe use where while".split())
 _RS_PRIMITIVE = frozenset("u8 i8 u16 i16 u32 i32 u64 i64 u128 i128 isize usize f32 f64 bool str char".split())
 _RS_OTHER = {"mut": "mutable_specifier", "self": "self", "super": "super", "crate": "crate", "true": "true", "false": "false"}
-_RS_UNITS = {"fn": "function_item", "impl": "impl_item", "struct": "struct_item", "enum": "enum_item"}
+_RSUNITS = {"fn": "function_item", "impl": "impl_item", "struct": "struct_item", "enum": "enum_item"}
 _RS_LEADING = frozenset("pub async unsafe const extern crate ( )".split())
 
 
@@ -294,7 +294,7 @@ def rust_units(text: str) -> tuple[list[Leaf], list[Unit]]:
     texts = [raw[k][1] for k in code]
     units = []
     for n, t in enumerate(texts):
-        if raw[code[n]][0] != "name" or t not in _RS_UNITS or (n and texts[n - 1] in (".", "::")):
+        if raw[code[n]][0] != "name" or t not in _RSUNITS or (n and texts[n - 1] in (".", "::")):
             continue
         if t in ("fn", "impl") and (n + 1 >= len(texts) or texts[n + 1] == "(" or n and texts[n - 1] in (":", "->", "&", "<", ",", "(", "=") and t == "impl"):
             continue
@@ -326,7 +326,7 @@ def rust_units(text: str) -> tuple[list[Leaf], list[Unit]]:
             first -= 1
         while texts[first] in ("(", ")"):
             first += 1
-        units.append(Unit(_RS_UNITS[t], raw[code[first]][2], raw[code[end]][2] + len(texts[end].encode())))
+        units.append(Unit(_RSUNITS[t], raw[code[first]][2], raw[code[end]][2] + len(texts[end].encode())))
     return leaves, units
 
 
@@ -359,13 +359,13 @@ def file_units(text: str, extension: str, aggressive: bool = False) -> list[dict
     return out
 
 
-_UNITS = "path string, unit string, start_line int, end_line int, start_byte int, end_byte int, tokens int, group_hash bigint, part string, alpha array<struct<s:int,e:int,idx:int>>, issue string, message string"
+UNITS = "path string, unit string, start_line int, end_line int, start_byte int, end_byte int, tokens int, group_hash bigint, part string, alpha array<struct<s:int,e:int,idx:int>>, issue string, message string"
 
 
 def extract_units(corpus: DataFrame, normalization: str = "conservative") -> DataFrame:
     """One row per unit of each file with a profile, or per file that fails (issue, message)."""
     aggressive = normalization == "aggressive"
-    names = [x.split()[0] for x in re.split(r", (?=[a-z_]+ )", _UNITS)]
+    names = [x.split()[0] for x in re.split(r", (?=[a-z_]+ )", UNITS)]
     alpha = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("idx", pa.int32())]))
     types = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.int64(), pa.string(), alpha, pa.string(), pa.string()]
 
@@ -388,12 +388,16 @@ def extract_units(corpus: DataFrame, normalization: str = "conservative") -> Dat
 
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     files = corpus.select("path", ext.alias("ext"), "text").filter(F.col("ext").isin(*PROFILES) & F.col("text").isNotNull())
-    return spread(files).mapInArrow(run, _UNITS)
+    return spread(files).mapInArrow(run, UNITS)
 
 
 def tier_b(corpus: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, normalization: str = "conservative") -> tuple[DataFrame, DataFrame]:
     """Occurrences of tier B groups (equal token streams, at least two), and issues."""
-    units = cut(extract_units(corpus, normalization))  # files are parsed once for counts, rows and issues
+    return tier_b_of(cut(extract_units(corpus, normalization)), min_lines, min_tokens)  # parsed once for counts, rows and issues
+
+
+def tier_b_of(units: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """As :func:`tier_b`, from the rows of units, made now or stored by an earlier scan."""
     issues = units.filter("issue IS NOT NULL").select("path", F.col("issue").alias("kind"), "message")
     big = units.filter((F.col("end_line") - F.col("start_line") + 1 >= min_lines) & (F.col("tokens") >= min_tokens))
     kept = big.groupBy("group_hash", "part").agg(F.count("*").alias("n")).filter("n > 1").select("group_hash", "part")

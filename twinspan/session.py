@@ -28,8 +28,8 @@ def local_session(cpus: int = 8, app: str = "twinspan") -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a folder of our
-    own is made and set.
+    Only where that setting is absent and the master is local (tests on one
+    machine) a folder of our own is made and set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -37,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="twinspan-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named

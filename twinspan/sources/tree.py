@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,38 +19,66 @@ TASK_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 _LISTED = "raw binary, path string, length bigint, mtime bigint, error string"
 
 
-def git_rules(root: bytes, folder: bytes) -> tuple:
-    """Rules of a folder's .gitignore, at the root after those of .git/info/exclude, as (folder, regex, folders only, kept)."""
+def _rules(names: list[bytes], strip: int, prefix: bytes) -> tuple:
+    """Rules of files of one folder, as (strip, prefix, regex, folders only, kept); a path is matched as prefix + path[strip:]."""
     lines = []
-    for name in ((b".git/info/exclude",) if not folder else ()) + (b".gitignore",):
+    for name in names:
         try:
-            with open(os.path.join(root, folder, name), encoding="utf-8", errors="replace") as f:
+            with open(name, encoding="utf-8", errors="replace") as f:
                 lines += f.read().splitlines()
         except OSError:
             pass
     found = []
     for regex, keep in filter(None, map(rule_regex, lines)):
         core = regex.removesuffix("(?:/.*)?$")
-        only = core == regex
-        found.append((folder, re.compile(core.removesuffix("/.*$") + r"\Z"), only, keep))
+        found.append((strip, prefix, re.compile(core.removesuffix("/.*$") + r"\Z"), core == regex, keep))
     return tuple(found)
 
 
+def git_rules(root: bytes, folder: bytes) -> tuple:
+    """Rules of a folder's .gitignore; at the root those of .git/info/exclude come before them."""
+    here = os.path.join(root, folder)
+    return _rules(([os.path.join(here, b".git/info/exclude")] if not folder else []) + [os.path.join(here, b".gitignore")], len(folder) + 1 if folder else 0, b"")
+
+
+def global_excludes() -> str:
+    """The user's ignore file: what git is configured to read, else its default place."""
+    try:
+        said = subprocess.run(["git", "config", "--path", "--get", "core.excludesFile"], capture_output=True, text=True, timeout=10)
+        if said.returncode == 0 and said.stdout.strip():
+            return said.stdout.strip()
+    except (OSError, subprocess.TimeoutExpired):
+        pass
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config"), "git", "ignore")
+
+
+def outer_rules(root: bytes) -> tuple:
+    """Rules from outside the tree, weakest first: the user's ignore file, then the .gitignore files of the folders above."""
+    rules = _rules([os.fsencode(global_excludes())], 0, b"")
+    parts = os.path.abspath(root).split(b"/")
+    for i in range(1, len(parts)):
+        above = b"/".join(parts[:i]) or b"/"
+        rules += _rules([os.path.join(above, b".gitignore")], 0, b"/".join(parts[i:]) + b"/")
+    return rules
+
+
 def git_ignored(path: bytes, is_dir: bool, rules: tuple) -> bool:
     """The last rule that matches decides, deeper files after shallower ones. Folders above are not ignored."""
-    for folder, regex, only, keep in reversed(rules):
-        if (is_dir or not only) and regex.match(os.fsdecode(path[len(folder) + 1 :] if folder else path)):
+    for strip, prefix, regex, only, keep in reversed(rules):
+        if (is_dir or not only) and regex.match(os.fsdecode(prefix + path[strip:])):
             return not keep
     return False
 
 
-def walk(root: str, gitignore: bool = False) -> Iterator[tuple[bytes, int, int, str | None]]:
+def walk(root: str, gitignore: bool = False, follow: bool = False, submodules: bool = True) -> Iterator[tuple[bytes, int, int, str | None]]:
     """Path below the root, size, time in seconds and error of every file, hidden ones too, but for .git folders.
 
-    Links are followed, but not in circles. A folder or file that cannot be looked at is a row with an error.
+    Symbolic links are passed over, or followed, but not in circles. Without
+    ``submodules`` a folder below the root that holds a .git of its own is
+    passed over. What cannot be looked at is a row with an error.
     """
     base = os.fsencode(root)
-    todo = [(b"", frozenset(), ())]
+    todo = [(b"", frozenset(), outer_rules(base) if gitignore else ())]
     while todo:
         folder, above, rules = todo.pop()
         try:
@@ -64,12 +93,14 @@ def walk(root: str, gitignore: bool = False) -> Iterator[tuple[bytes, int, int,
                 raise
             yield folder, 0, 0, e.strerror
             continue
+        if folder and not submodules and any(e.name == b".git" for e in names):
+            continue
         if gitignore:
             rules += git_rules(base, folder)
         for entry in names:
             path = os.path.join(folder, entry.name)
             try:
-                if git_ignored(path, entry.is_dir(), rules):
+                if not follow and entry.is_symlink() or git_ignored(path, entry.is_dir(), rules):
                     continue
                 if entry.is_dir():
                     if entry.name != b".git":
@@ -81,9 +112,9 @@ def walk(root: str, gitignore: bool = False) -> Iterator[tuple[bytes, int, int,
                 yield path, 0, 0, e.strerror
 
 
-def list_files(spark: SparkSession, root: str, gitignore: bool = False) -> DataFrame:
+def list_files(spark: SparkSession, root: str, gitignore: bool = False, follow: bool = False, submodules: bool = True) -> DataFrame:
     """``raw`` and ``path`` relative to root, ``length, mtime, error``. The driver walks, as every file source lists there."""
-    rows = list(walk(root, gitignore))
+    rows = list(walk(root, gitignore, follow, submodules))
     raw, length, mtime, error = zip(*rows, strict=True) if rows else ((), (), (), ())
     names = [n.split()[0] for n in _LISTED.split(", ")]
     types = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string())
@@ -127,9 +158,35 @@ def rules_file(root: str, name: str) -> tuple[str, ...]:
         return ()
 
 
-def submodules(root: str) -> list[str]:
-    """Folders below the root that hold a .git of their own, relative."""
-    return [os.path.relpath(d, root).replace(os.sep, "/") for d, folders, files in os.walk(root) if d != root and ".git" in (*folders, *files) and "/.git/" not in d + "/"]
+def candidates(
+    spark: SparkSession, root: str, gitignore: bool = True, everything: bool = False, include_submodules: bool = False, limit: int = MAX_FILE_SIZE, project_rules: str = ".twinspanignore", skip: tuple[str, ...] = (), follow: bool = False
+) -> DataFrame:
+    """Listed files that no rule on names and sizes leaves out; nothing is read yet. Rule files are small and read on the driver."""
+    path = F.col("path")
+    files = list_files(spark, root, gitignore and not everything, follow, include_submodules).filter(~in_git_dir(path))
+    for folder in skip:
+        files = files.filter(~path.startswith(folder + "/"))
+    files = files.filter(~ignored(path, rules_file(root, project_rules), not everything))
+    return files if everything else files.filter(F.col("length") <= limit)
+
+
+def classified(files: DataFrame, root: str, everything: bool = False) -> DataFrame:
+    """``path, length, mtime, status, message, text``: ok with its text, binary, generated, utf8 or read_error."""
+    read = with_content(files, root)
+    text = F.col("content").cast("string")
+    status = F.when(F.col("error").isNotNull(), "read_error")
+    if not everything:
+        status = status.when(looks_binary(F.col("content")), "binary")
+    status = status.when(~F.is_valid_utf8(text), "utf8")
+    if not everything:
+        status = status.when(has_generated_header(text), "generated")
+    told = read.withColumn("status", status.otherwise("ok"))
+    message = F.when(F.col("status") == "read_error", F.col("error")).when(F.col("status") == "utf8", "invalid UTF-8")
+    return told.select("path", "length", "mtime", "status", message.alias("message"), F.when(F.col("status") == "ok", text).alias("text"))
+
+
+def status_issues(files: DataFrame) -> DataFrame:
+    return files.filter("status IN ('read_error', 'utf8')").select("path", F.col("status").alias("kind"), "message")
 
 
 def read_corpus(
@@ -141,24 +198,8 @@ def read_corpus(
     limit: int = MAX_FILE_SIZE,
     project_rules: str = ".twinspanignore",
     skip: tuple[str, ...] = (),
+    follow: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The corpus and its issues, without the folders of ``skip``. Rule files are small and read on the driver."""
-    path = F.col("path")
-    files = list_files(spark, root, gitignore and not everything).filter(~in_git_dir(path))
-    for folder in skip:
-        files = files.filter(~path.startswith(folder + "/"))
-    files = files.filter(~ignored(path, rules_file(root, project_rules), not everything))
-    if not everything:
-        files = files.filter(F.col("length") <= limit)
-    if not include_submodules:
-        for folder in submodules(root):
-            files = files.filter(~path.startswith(folder + "/"))
-    files = with_content(files, root)
-    unread = files.filter("error IS NOT NULL").select("path", F.lit("read_error").alias("kind"), F.col("error").alias("message"))
-    files = files.filter("error IS NULL")
-    if not everything:
-        files = files.filter(~looks_binary(F.col("content")))
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    issues = files.filter(~valid).select("path", F.lit("utf8").alias("kind"), F.lit("invalid UTF-8").alias("message")).unionByName(unread)
-    corpus = files.filter(valid).select("path", F.col("content").cast("string").alias("text"), "length", "mtime")
-    return (corpus if everything else corpus.filter(~has_generated_header(F.col("text")))), issues
+    """The corpus and its issues, without the folders of ``skip``."""
+    files = classified(candidates(spark, root, gitignore, everything, include_submodules, limit, project_rules, skip, follow), root, everything)
+    return files.filter("status = 'ok'").select("path", "text", "length", "mtime"), status_issues(files)
