@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import os
+from hashlib import md5
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -272,3 +273,16 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
                 begin += len(parts)
 
     return spread(source).mapInArrow(run, schema)
+
+
+def decoded_digests(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """``doc_id, digest``: the MD5 of the bytes that each row's ids stand for. No shuffle."""
+    content = vocabulary(encoded.sparkSession, vocabulary_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {rank: piece for piece, rank in parse_ranks(content.value).items()}
+        for batch in batches:
+            digests = [md5(b"".join(map(pieces.__getitem__, ids))).hexdigest() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["doc_id", "digest"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, digest string")

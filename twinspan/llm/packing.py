@@ -169,6 +169,20 @@ def conflicts(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
+def totals(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row on :func:`packed` of documents with unique ids: how many there are, and how many break a rule (0 of each is right)."""
+    pieces = cut(pieces)
+    full = pieces.groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > capacity).alias("too_full"))
+    last = F.max(F.col("first_token") + F.col("n_tokens"))
+    per = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), last.alias("last"), F.min("first_token").alias("first"), F.count_distinct("first_token").alias("parts"), F.count("*").alias("n"))
+    told = per.agg(
+        F.count("*").alias("documents"),
+        F.count_if((F.col("t") != F.col("last")) | (F.col("first") != 0) | (F.col("parts") != F.col("n"))).alias("not_once"),
+        F.count_if((F.col("t") <= capacity) & (F.col("n") > 1)).alias("cut_small"),
+    )
+    return told.join(full).select("documents", "too_full", "not_once", "cut_small")  # one row each
+
+
 def packed(df: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary_path: str | None = None) -> DataFrame:
     """The pieces of :func:`pack_corpus` with ``src`` and ``dup``, the hashes of source and text.
 

@@ -45,7 +45,7 @@ def file_validity(df: DataFrame, doc_id: str = "doc_id", path: str = "path", tex
 
 def invalid_rates(checked: DataFrame) -> DataFrame:
     """``repo, language, files, invalid, rate`` and a count per kind of fault."""
-    kinds = ["merge_conflict_marker", "unterminated_literal", "premature_end", "unbalanced_delimiter", "unexpected_token"]
+    kinds = ["merge_conflict_marker", "unterminated_literal", "premature_end", "unbalanced_delimiter", "unexpected_token", "nesting_too_deep"]
     return checked.groupBy("repo", "language").agg(
         F.count("*").alias("files"), F.count("kind").alias("invalid"), (F.count("kind") / F.count("*")).alias("rate"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds]
     )
