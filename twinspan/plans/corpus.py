@@ -69,6 +69,16 @@ def ingest_filter(spark, d):
     return docs.select("path", ingest_status(F.col("path"), F.col("text"), F.octet_length("text")).alias("status"))
 
 
+@query(
+    WINDOWS_SQL
+    + f", e AS (SELECT path, unnest(regexp_extract_all(text, '{_SQL_PATTERN}')) AS x, generate_subscripts(regexp_extract_all(text, '{_SQL_PATTERN}'), 1) AS i FROM c), p AS (SELECT path, x, i, sum(strlen(x)) OVER (PARTITION BY path ORDER BY i) AS z FROM e), k AS (SELECT path, z - strlen(x) AS s, z, row_number() OVER (PARTITION BY path ORDER BY i) AS j FROM p WHERE NOT regexp_matches(x, '{lexing.SKIPPED}')), q AS (SELECT w.path, min(i) AS a, max(i) AS b FROM w JOIN r USING (h) WHERE n > 1 GROUP BY w.path) SELECT q.path, CAST(f.s AS INTEGER) AS first_byte, CAST(l.z AS INTEGER) AS last_byte FROM q JOIN k f ON f.path = q.path AND f.j = q.a JOIN k l ON l.path = q.path AND l.j = q.b + 49"
+)
+def tier_a_reach(spark, d):
+    """Where the spans of each file begin and end before any threshold: they cover every repeated window and no other."""
+    spans = matching.match_runs(lexing.file_windows(_corpus(spark, d)))
+    return spans.groupBy("path").agg(F.min("start_byte").alias("first_byte"), F.max("end_byte").alias("last_byte"))
+
+
 @query()
 def tier_a_groups(spark, d):
     """No SQL: the greedy extension visits windows in order; tested against brute force."""
