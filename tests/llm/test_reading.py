@@ -50,3 +50,12 @@ def test_bound_and_sentences(spark):
     assert len(fit(prose(docs), labels, bound=10).vocabulary) > 0
     assert sentences("# Head.\n```\ncode.\n```\n| a. |\nOne two. Three!\nfragment") == [["one", "two"], ["three"]]
     assert sentences("only a fragment") == [["only", "a", "fragment"]] and sentences("123") == []
+
+
+def test_labels_of_other_documents_leave_the_formula(spark):
+    easy, hard = "The cat sat. The dog ran. It is big. ", "Notwithstanding considerable methodological heterogeneity, contemporaneous investigations substantiate multidimensional interpretations of organisational behaviour. "
+    docs = spark.createDataFrame([(i, (easy if i % 2 else hard) * 6, "docs") for i in range(20)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(900, 5), (901, 9)], "doc_id bigint, grade int")
+    got = {r["doc_id"]: r["level"] for r in reading_levels(docs, labels).collect()}
+    assert len(got) == 20 and max(got[i] for i in range(1, 20, 2)) < min(got[i] for i in range(0, 20, 2))
+    assert got == {r["doc_id"]: r["level"] for r in reading_levels(docs, labels.limit(0)).collect()}

@@ -25,6 +25,8 @@ PROSE_SOURCES = ("docs", "triage", "review", "changelog")
 GRADES = (3, 18)
 #: Labelled documents the models are fitted on at most, those with the smallest hash of the id.
 LABEL_BOUND = 20_000
+#: Features (words, endings, lengths) that the models hold, the most frequent ones.
+FEATURE_BOUND = 200_000
 #: Standard deviation, in grades, of the smoothing between neighbouring grades.
 NEIGHBOUR = 1.0
 #: Weight of the Dirichlet prior, in words.
@@ -127,19 +129,20 @@ def prose(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def fit(texts: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> Models:
-    """Fit on the labelled texts; where none is labelled, on formula-seeded ones.
+    """Fit on the labelled texts; where none of the texts is labelled, on all of them with grades by formula.
 
     Repeated label rows count once; raters who differ count side by side; null
-    grades and grades outside the scale do not count.
+    grades, grades outside the scale and labels of other documents do not
+    count. At most ``bound`` labelled texts are used. The models know the
+    ``FEATURE_BOUND`` most frequent features.
     """
     lo, hi = GRADES
-    wanted = labels.filter(F.col("grade").between(lo, hi)).select("doc_id", "grade").distinct()
+    wanted = labels.filter(F.col("grade").between(lo, hi)).select("doc_id", "grade").distinct().join(texts.select("doc_id"), "doc_id", "left_semi")
     sample = wanted.join(wanted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "doc_id")
     seeded = sample.isEmpty()
-    if seeded:
-        sample = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("grade", F.lit(0))
     # bounded: at most `bound` ids and their raters' grades
-    rows = texts.join(F.broadcast(sample.groupBy("doc_id").agg(F.collect_set("grade").alias("grades"))), "doc_id").select("grades", "text")
+    graded = sample.groupBy("doc_id").agg(F.collect_set("grade").alias("grades"))
+    rows = texts.select(F.array().cast("array<int>").alias("grades"), "text") if seeded else texts.join(F.broadcast(graded), "doc_id").select("grades", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, Counter[str]] = {}
@@ -152,7 +155,9 @@ def fit(texts: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> Models
         for g, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(map(float, c.values())))], names=["grade", "feature", "n"])
 
-    table = rows.mapInArrow(count, "grade int, feature string, n double").groupBy("grade", "feature").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(count, "grade int, feature string, n double").groupBy("grade", "feature").agg(F.sum("n").alias("n"))
+    common = table.groupBy("feature").agg(F.sum("n").alias("t")).filter("t >= 2").orderBy(F.col("feature") != "docs", F.desc("t"), "feature").limit(FEATURE_BOUND).select("feature")
+    table = table.join(F.broadcast(common), "feature").select("grade", "feature", "n").toPandas()  # at most grades x FEATURE_BOUND numbers
     scale = np.arange(lo, hi + 1)
     kernel = np.exp(-0.5 * ((scale[:, None] - scale[None, :]) / NEIGHBOUR) ** 2)
     kernel /= kernel.sum(1, keepdims=True)
