@@ -6,7 +6,8 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,16 +83,17 @@ class Engine:
 
         Files whose path, size and time are those of the last scan are not
         read again: their windows, units and issues are taken from the store.
+        Where no file has changed, come or gone, nor a threshold, the groups
+        stay as they are and only the history grows.
         ``progress`` hears of the files listed and read and of the groups
         found. All jobs run in the group that :meth:`cancel` ends; a cancelled
         scan leaves the store as it was.
         """
         told = progress or (lambda stage, count: None)
-        self.spark.sparkContext.setJobGroup(self.job_group, f"scan of {self.root}", True)
         c = self.config
         own = (".twinspan", os.path.relpath(self.warehouse, self.root).replace(os.sep, "/"))
         wh = Warehouse(self.spark, self.warehouse)
-        with wh.lock():
+        with wh.lock(), self._grouped():
             listed = cut(candidates(self.spark, self.root, gitignore, everything, c.include_submodules, c.max_file_size, skip=own, follow=c.follow_symlinks))
             told("listed", listed.count())
             profile = f"{WINDOW} {c.normalization} {everything}"
@@ -100,7 +102,23 @@ class Engine:
             known = cut(state.join(listed.filter("error IS NULL").select(*same), same, "left_semi"))
             fresh = cut(classified(listed.join(known.select(*same), same, "left_anti"), self.root, everything))
             corpus = fresh.filter("status = 'ok'").select("path", "text")
-            told("read", fresh.count())
+            read = fresh.count()
+            told("read", read)
+            settings = f"{profile} {c.tier_a_min_lines} {c.tier_a_min_tokens} {c.tier_b_min_lines} {c.tier_b_min_tokens}"
+            scan_id = (wh.read("scans").agg(F.max("scan_id")).first()[0] or 0) + 1
+            started = int(time.time()) if now is None else now
+            row = self.spark.createDataFrame([(scan_id, started, fnv1a(self.root.encode()), commit_of(self.root))], "scan_id bigint, started_at bigint, folder_hash bigint, git_commit string")
+
+            def snapshot(groups: DataFrame) -> DataFrame:
+                return groups.groupBy("group_hash").agg(F.sum("occurrence_count").alias("occurrence_count"), F.sum("total_lines").alias("total_lines")).withColumn("scan_id", F.lit(scan_id))
+
+            if read == 0 and wh.state().get("settings") == settings and wh.read("file_state").count() == known.count():
+                groups = wh.read("match_groups")
+                told("groups", groups.count())
+                if pulse:
+                    pulse(wh.read("occurrences").join(groups.filter("tier = 'A'").select(F.col("id").alias("group_id"), "group_hash"), "group_id"))
+                wh.commit({}, {"scans": row, "scan_groups": snapshot(groups)})
+                return scan_id
             old = known.filter("status = 'ok'").select("path")
             windows = cut(file_windows(corpus).unionByName(wh.read("file_windows").join(old, "path", "left_semi")))
             units = cut(extract_units(corpus, c.normalization).unionByName(wh.read("file_units").join(old, "path", "left_semi")))
@@ -114,10 +132,6 @@ class Engine:
             groups = cut(with_ordinal(totals, [F.col("tier"), F.col("first"), hex16(F.col("group_hash")), F.col("part")], "id"))
             told("groups", groups.count())
             occ = with_ordinal(found.join(groups.select("id", *keys), keys).withColumnRenamed("id", "group_id"), [F.col("group_id"), F.split("path", "/"), F.col("start_line"), F.col("start_byte")], "id")
-            scan_id = (wh.read("scans").agg(F.max("scan_id")).first()[0] or 0) + 1
-            started = int(time.time()) if now is None else now
-            row = self.spark.createDataFrame([(scan_id, started, fnv1a(self.root.encode()), commit_of(self.root))], "scan_id bigint, started_at bigint, folder_hash bigint, git_commit string")
-            snapshot = groups.groupBy("group_hash").agg(F.sum("occurrence_count").alias("occurrence_count"), F.sum("total_lines").alias("total_lines")).withColumn("scan_id", F.lit(scan_id))
             states = cut(fresh.withColumn("content_hash", F.xxhash64("text")).withColumn("profile", F.lit(profile)).drop("text").unionByName(known))
             prints = states.filter("status = 'ok'").select("path", "content_hash", F.col("length").alias("size"), "mtime").join(windows.select("path", F.col("hs").alias("block_hashes")), "path", "left")
             wh.commit(
@@ -125,10 +139,21 @@ class Engine:
                     "match_groups": groups.withColumn("hash_hex", hex16(F.col("group_hash"))), "occurrences": occ, "issues": status_issues(states).unionByName(more),
                     "file_blocks": prints, "file_state": states, "file_windows": windows, "file_units": units,
                 },
-                {"scans": row, "scan_groups": snapshot},
+                {"scans": row, "scan_groups": snapshot(groups)},
+                settings,
             )
         return scan_id
 
+    @contextmanager
+    def _grouped(self) -> Iterator[None]:
+        context = self.spark.sparkContext
+        context.setJobGroup(self.job_group, f"scan of {self.root}", True)
+        try:
+            yield
+        finally:
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(name, None)
+
     def cancel(self) -> None:
         """End the running scan at the next task boundary, from another thread."""
         self.spark.sparkContext.cancelJobGroup(self.job_group)

@@ -66,8 +66,7 @@ def repeated_runs(cells: DataFrame) -> DataFrame:
 
 
 def match_runs(files: DataFrame) -> DataFrame:
-    """``h, length, path, start_line, end_line, start_byte, end_byte`` of every span, from the rows of :func:`file_windows`."""
-    files = cut(files)
+    """``h, length, path, start_line, end_line, start_byte, end_byte`` of every span, from kept rows of :func:`file_windows`."""
     cells = repeated_cells(files, cut(repeated_hashes(files)))
     names = files.select(file_id(), "path").distinct()
     hashes = F.transform("cells", lambda c: c["h"])
@@ -104,11 +103,11 @@ def tier_a(corpus: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_
     A group is all spans of a hash and length that reach the thresholds, if
     there are two.
     """
-    return tier_a_of(file_windows(corpus, n), min_lines, min_tokens, n)
+    return tier_a_of(cut(file_windows(corpus, n)), min_lines, min_tokens, n)
 
 
 def tier_a_of(files: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, n: int = WINDOW) -> DataFrame:
-    """As :func:`tier_a`, from window rows, made now or stored by an earlier scan."""
+    """As :func:`tier_a`, from window rows that are kept somewhere (read twice), made now or stored by an earlier scan."""
     spans = cut(match_runs(files).filter((F.col("end_line") - F.col("start_line") + 1 >= min_lines) & (F.col("length") + n - 1 >= min_tokens)).distinct())
     kept = spans.groupBy("h", "length").agg(F.count("*").alias("n")).filter("n > 1").select("h", "length")
     return spans.join(kept, ["h", "length"], "left_semi").select(F.col("h").alias("group_hash"), hex16(F.col("h")).alias("hash"), F.lit("A").alias("tier"), "length", "path", "start_line", "end_line", "start_byte", "end_byte")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators import detail, incremental, lexing, matching, units
 from twinspan.plans.reference import CTE, _occurrences
+from twinspan.session import cut
 from twinspan.sources.ignore import BUILT_IN, ingest_status, rule_regex
 from twinspan.sources.tables import table
 
@@ -75,7 +76,7 @@ def ingest_filter(spark, d):
 )
 def tier_a_reach(spark, d):
     """Where the spans of each file begin and end before any threshold: they cover every repeated window and no other."""
-    spans = matching.match_runs(lexing.file_windows(_corpus(spark, d)))
+    spans = matching.match_runs(cut(lexing.file_windows(_corpus(spark, d))))
     return spans.groupBy("path").agg(F.min("start_byte").alias("first_byte"), F.max("end_byte").alias("last_byte"))
 
 

@@ -124,14 +124,14 @@ class Warehouse:
         df.select(*columns).write.mode("errorifexists").parquet(f"{self.root}/{folder}")
         return folder
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> None:
-        """Replace and append tables together; old versions go after the swap."""
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, settings: str | None = None) -> None:
+        """Replace and append tables together; old versions go after the swap. ``settings`` says what the groups were made with."""
         with self.lock():
             state = self.state()
             before = state["tables"]
             new = {n: [self._write(n, df)] for n, df in (replace or {}).items()}
             new |= {n: [*before.get(n, []), self._write(n, df)] for n, df in (append or {}).items()}
-            self._write_state({"schema_version": SCHEMA_VERSION, "tables": before | new})
+            self._write_state({"schema_version": SCHEMA_VERSION, "tables": before | new, "settings": settings or state.get("settings")})
         for n in replace or {}:
             for folder in before.get(n, []):
                 self.folder.delete(folder)
