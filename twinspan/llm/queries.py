@@ -18,7 +18,7 @@ from twinspan.sources.tables import table
 
 
 def p1_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "occurrences").select("path").unionByName(table(spark, sf_dir, "issues").select("path"))
+    named = table(spark, sf_dir, "occurrences").select("path").unionByName(table(spark, sf_dir, "issues").select("path")).distinct()  # spellings first, each is put right once
     return file_origins(named.select(canonical_path(F.col("path")).alias("path")), table(spark, sf_dir, "documents"))
 
 
