@@ -87,6 +87,43 @@ def test_buckets_larger_than_pairs_allow_lose_no_group(spark):
     assert sum(calls) < 30 * n
 
 
+def joined(links, n):
+    head = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            head[a] = head[b] = min(head[a], head[b])
+    return head
+
+
+def test_a_link_to_a_node_that_is_done_is_found(spark, monkeypatch):
+    """Nodes on a line, linked up to a distance of 0.2: what joins a chain are links of nodes that no leader is linked with."""
+    rng = random.Random(5)
+    chains = [0.11 * x for x in range(40)] + [6 + 0.19 * x for x in range(20)] + [20 + rng.random() * 12 for _ in range(60)]
+    spots = rng.sample(chains, len(chains))
+    n = len(spots)
+    keyed = spark.createDataFrame([(7, x) for x in range(n)] + [(8, x) for x in range(0, n, 2)] + [(9, x) for x in range(5)], "key bigint, node bigint")
+
+    def verify(pairs):
+        rows = [(r.a, r.b, abs(spots[r.a] - spots[r.b])) for r in pairs.collect()]
+        return spark.createDataFrame([(a, b, d <= 0.2, 1 - d) for a, b, d in rows if d <= 0.4], "a bigint, b bigint, linked boolean, like double").selectExpr("*", "CAST(NULL AS double) AS told")
+
+    exact = joined([(a, b) for a in range(n) for b in range(n) if abs(spots[a] - spots[b]) <= 0.2], n)
+    for at_once in (10**6, 0):  # in one round, and in rounds of shares
+        monkeypatch.setattr("twinspan.llm.vendoring.AT_ONCE", at_once)
+        links = [(r.a, r.b) for r in bucket_links(keyed, verify).collect()]
+        assert all(abs(spots[a] - spots[b]) <= 0.2 for a, b in links) and joined(links, n) == exact
+
+
+def test_a_copy_linked_to_one_of_a_large_bucket_only(spark):
+    """300 files with a line more than ``base`` fill its buckets; ``near`` is a copy of ``base``, not of them, and shares no other bucket."""
+    line = lambda i: f"x = call('value {i}')\n"
+    base = [line(i) for i in range(91)]
+    near = [line(1000 + i) if i % 9 == 1 else x for i, x in enumerate(base)]
+    files = [(f"q{i}/src/a.py", "".join([*base, line(2000 + i)]), 0) for i in range(300)]
+    files += [("r/vendor/lib/a.py", "".join([*base, line(3000)]), 0), ("p/src/base.py", "".join(base), 0), ("p/src/near.py", "".join(near), 0)]
+    assert set(kinds(spark, files).values()) == {("vendored", "copies")}
+
+
 def test_comments_are_not_code():
     assert code_of('x = "# no" # yes\n', "py").strip() == 'x = "# no"'
     assert code_of("a(); // b\n/* c */ d('//e');", "js").split() == ["a();", "d('//e');"]

@@ -41,6 +41,11 @@ LITTLE_EVIDENCE, SOME_EVIDENCE = 8, 10
 #: Buckets up to this size are compared pair by pair (copies: few share a bucket by chance; forms: many do); in larger ones all meet some
 #: leaders, so many at first and four times as many each round.
 COPY_PAIRWISE, PAIRWISE, LEADERS = 256, 6, 4
+#: Jaccard distance is a metric: a set less similar than NEAR to a leader has no link to what is linked with that leader, and two linked
+#: sets are as similar to a leader up to APART.
+NEAR, APART = 2 * SIMILARITY - 1 - 1e-9, 1 - SIMILARITY + 1e-9
+#: Pairs around leaders are compared at once up to so many; more in rounds of growing shares of the members, with components between.
+AT_ONCE, SHARES = 1_000_000, (1, 4, 16, 64)
 #: A form is regular if its shingles recur so often on average; a family recurs more.
 REGULAR, FAMILY = 3.0, 10.0
 #: What most files of a cluster of forms must show for a verdict: literals among words, code in dense lines, no runs of bare words (prose).
@@ -190,13 +195,20 @@ def _small(df: DataFrame, *sets: str) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def _alike(a: str, b: str) -> Column:
-    common, near = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)) >= SIMILARITY * F.greatest(F.size(a), F.size(b))
-    return near & (common >= SIMILARITY * (F.size(a) + F.size(b) - common))
+def _likeness(a: str, b: str) -> Column:
+    """Similarity of two sets, 0 where their sizes alone keep it below NEAR or one is empty."""
+    common, near = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)) >= NEAR * F.greatest(F.size(a), F.size(b), F.lit(1))
+    return F.when(near, 1 / ((F.size(a) + F.size(b)) / F.greatest(common, F.lit(0.5)) - 1)).otherwise(0.0)  # common / union, with one intersection
 
 
-def verified_copies(files: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of copy classes that are similar enough, on the 64-bit shingles of one text of each."""
+def measured_copies(files: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of copy classes that are linked or near, on the 64-bit shingles of one text of each.
+
+    ``like`` is their similarity by masked shingles, ``told`` by evidence if
+    both have enough of it (else null). What decides for a third class may be
+    evidence or names, so a pair is far by these only where no third class
+    could be linked to both.
+    """
     wanted = cut(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls"))
     texts = files.join(_small(wanted), "path").select("cls", "ext", "text")
 
@@ -214,20 +226,29 @@ def verified_copies(files: DataFrame, pairs: DataFrame, reps: DataFrame) -> Data
     hashed = cut(texts.mapInArrow(sets, "cls bigint, masked array<bigint>, told array<bigint>, plain array<bigint>").groupBy("cls").agg(*[F.first(x).alias(x) for x in kept]))
     hashed = _small(hashed, *kept)
     one, two = hashed.select(F.col("cls").alias("a"), *[F.col(x).alias(x + "1") for x in kept]), hashed.select(F.col("cls").alias("b"), *[F.col(x).alias(x + "2") for x in kept])
-    rich = (F.size("told1") >= LITTLE_EVIDENCE) & (F.size("told2") >= LITTLE_EVIDENCE)
-    return spread(pairs).join(one, "a").join(two, "b").filter(_alike("masked1", "masked2") & F.when(rich, _alike("told1", "told2")).otherwise(_alike("plain1", "plain2"))).select("a", "b")
+    rich1, rich2 = F.size("told1") >= LITTLE_EVIDENCE, F.size("told2") >= LITTLE_EVIDENCE
+    met = spread(pairs).join(one, "a").join(two, "b").withColumn("like", _likeness("masked1", "masked2")).filter(F.col("like") >= NEAR)
+    met = met.select("a", "b", "like", (rich1 != rich2).alias("mixed"), F.when(rich1 & rich2, _likeness("told1", "told2")).alias("told"), _likeness("plain1", "plain2").alias("names"))
+    linked = (F.col("like") >= SIMILARITY) & (F.coalesce("told", "names") >= SIMILARITY)
+    return met.filter(F.col("mixed") | (F.greatest("told", "names") >= NEAR)).select("a", "b", linked.alias("linked"), "like", "told")
 
 
 def bucket_links(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], pairwise: int = PAIRWISE) -> DataFrame:
-    """Verified links (a, b) between the nodes of common buckets; ``keyed`` has key and node, each pair once.
+    """Links (a, b) that join what all verified pairs of common buckets join; ``keyed`` has key and node, each pair once.
 
     Small buckets are compared pair by pair. In a larger one, which may hold a
     third of all nodes, every node meets the bucket's leaders, the least nodes
     of each salt, so mostly the same in all buckets of a cluster; those linked
     to a leader are done, the others stay for more leaders, until few are
     left. So a bucket of n nodes in g groups costs about n * g comparisons.
+
+    A node that stays may be linked to one that is done and not to its leader.
+    ``verify`` says which: it returns (a, b, linked, like, told), rows with
+    linked false where the pair is near (see NEAR), and ``hidden_links``
+    compares those with the members of the leader unless they are joined by
+    then. A ``verify`` of (a, b) alone says that similarity is transitive.
     """
-    left, links, salts = keyed, [], LEADERS
+    left, links, near, members, salts = keyed, [], [], [], LEADERS
     while True:
         sizes = cut(left.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"))
         pairs = sizes.filter("n = 2").select("a", "b")
@@ -236,17 +257,56 @@ def bucket_links(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], pai
         pairs = pairs.unionByName(few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b"))
         many = left.filter(F.col("n") > pairwise).select("key", "node")
         if many.isEmpty():
-            return reduce(DataFrame.unionByName, [*links, verify(cut(pairs.distinct()))])
+            links.append(cut(_measured(verify(cut(pairs.distinct()))).filter("linked").select("a", "b")))
+            joined = reduce(DataFrame.unionByName, links)
+            return hidden_links(joined, reduce(DataFrame.unionByName, near), reduce(DataFrame.unionByName, members), verify) if near else joined
         leaders = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min("node").alias("lead")).drop("salt")
         met = many.join(leaders, "key").filter("node <> lead")
-        found = cut(verify(cut(pairs.unionByName(met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct())))
-        links.append(found)
-        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = leaders.join(both, leaders["lead"] == both["a"]).select("key", F.col("b").alias("node")).unionByName(leaders.select("key", F.col("lead").alias("node")))
-        left = many.join(done, ["key", "node"], "left_anti")
+        found = cut(_measured(verify(cut(pairs.unionByName(met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct()))))
+        links.append(found.filter("linked").select("a", "b"))
+        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked", "like", "told")).withColumnsRenamed({"a": "lead", "b": "node"})
+        near.append(both.filter("NOT linked").select("lead", "node", "like", "told"))
+        done = cut(leaders.join(both.filter("linked"), "lead").groupBy("key", "node").agg(F.max(F.struct("like", "lead", "told")).alias("m")))
+        members.append(done.select("node", "m.*"))
+        left = many.join(done.select("key", "node").unionByName(leaders.select("key", F.col("lead").alias("node"))), ["key", "node"], "left_anti")
         salts *= 4
 
 
+def _measured(found: DataFrame) -> DataFrame:
+    return found.select("a", "b", "linked", "like", "told") if "linked" in found.columns else found.select("a", "b", F.lit(True).alias("linked"), F.lit(1.0).alias("like"), F.lit(None).cast("double").alias("told"))
+
+
+def hidden_links(links: DataFrame, near: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` and those between the members of a leader and nodes near it, found until no pair that could join two components is left.
+
+    ``near`` and ``members`` have lead, node and how similar they are (like,
+    told). A pair is left out only where it is in one component by then, or
+    where the similarities to the leader are too far apart for a link.
+    """
+    near = cut(near.distinct())
+    if near.isEmpty():
+        return links
+    part = connected_components(links, "a", "b")
+    members = cut(members.select("lead", F.col("node").alias("other"), F.col("like").alias("like2"), F.col("told").alias("told2")).distinct())
+    done = 0
+    while True:
+        part = cut(part)
+        near = near.join(part.select(F.col("node").alias("lead"), F.col("component").alias("c")), "lead").join(part, "node", "left")
+        near = cut(near.filter(F.col("c") != F.coalesce("component", "node")).select("lead", "node", "like", "told"))
+        groups = members.groupBy("lead").agg(F.count("*").alias("n")).join(near.groupBy("lead").agg(F.count("*").alias("m")), "lead")
+        total = groups.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+        if not total:
+            return links
+        upto = SHARES[-1] if total <= AT_ONCE else next(x for x in SHARES if x > done)
+        slot = F.pmod(F.xxhash64("other"), F.lit(SHARES[-1]))
+        pairs = near.join(members.filter((slot >= done) & (slot < upto)), "lead").filter((F.abs(F.col("like") - F.col("like2")) <= APART) & F.coalesce(F.abs(F.col("told") - F.col("told2")) <= APART, F.lit(True)))
+        more = cut(_measured(verify(cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()))).filter("linked").select("a", "b"))
+        links, done = links.unionByName(more), upto
+        if done == SHARES[-1]:
+            return links
+        part = connected_components(more.unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+
+
 def file_origins(named: DataFrame, documents: DataFrame) -> DataFrame:
     """``path, kind, reason, mark`` of every named path: where its file comes from.
 
@@ -271,13 +331,15 @@ def file_origins(named: DataFrame, documents: DataFrame) -> DataFrame:
     )
     found = cut(file_features(files))
     classes = found.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("path", "keys")).alias("m"))
-    copies = bucket_links(classes.select(F.explode("m.keys").alias("key"), F.col("cls").alias("node")), lambda pairs: verified_copies(files, pairs, classes.select("cls", "m.path")), COPY_PAIRWISE)
+    copies = bucket_links(classes.select(F.explode("m.keys").alias("key"), F.col("cls").alias("node")), lambda pairs: measured_copies(files, pairs, classes.select("cls", "m.path")), COPY_PAIRWISE)
     forms = cut(found.filter("form IS NOT NULL").groupBy("form").agg(F.first("forms").alias("forms")))
 
     sets = _small(forms, "forms")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return spread(pairs).join(sets.select(F.col("form").alias("a"), F.col("forms").alias("x")), "a").join(sets.select(F.col("form").alias("b"), F.col("forms").alias("y")), "b").filter(_alike("x", "y")).select("a", "b")
+        met = spread(pairs).join(sets.select(F.col("form").alias("a"), F.col("forms").alias("x")), "a").join(sets.select(F.col("form").alias("b"), F.col("forms").alias("y")), "b")
+        met = met.select("a", "b", _likeness("x", "y").alias("like")).filter(F.col("like") >= NEAR)
+        return met.select("a", "b", (F.col("like") >= SIMILARITY).alias("linked"), "like", F.lit(None).cast("double").alias("told"))
 
     similar = bucket_links(form_keys(forms), verify)
     parts = cut(connected_components(copies.unionByName(similar), "a", "b"))
