@@ -300,11 +300,13 @@ def hidden_links(links: DataFrame, near: DataFrame, members: DataFrame, verify:
         upto = SHARES[-1] if total <= AT_ONCE else next(x for x in SHARES if x > done)
         slot = F.pmod(F.xxhash64("other"), F.lit(SHARES[-1]))
         pairs = near.join(members.filter((slot >= done) & (slot < upto)), "lead").filter((F.abs(F.col("like") - F.col("like2")) <= APART) & F.coalesce(F.abs(F.col("told") - F.col("told2")) <= APART, F.lit(True)))
-        more = cut(_measured(verify(cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()))).filter("linked").select("a", "b"))
-        links, done = links.unionByName(more), upto
+        pairs, done = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()), upto
+        more = pairs if pairs.isEmpty() else cut(_measured(verify(pairs)).filter("linked").select("a", "b"))
+        links = links.unionByName(more)
         if done == SHARES[-1]:
             return links
-        part = connected_components(more.unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+        if not more.isEmpty():
+            part = connected_components(more.unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
 
 
 def file_origins(named: DataFrame, documents: DataFrame) -> DataFrame:
